@@ -179,7 +179,8 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, decide:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.hash(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"own_{c}") for c in carry]
     )
     scan = one.select("d", "h", "text").mapInArrow(partial(_records, unit, window, gram), _RECORD)
-    repeated = scan.groupBy("anchor").agg(F.count("*").alias("rows")).where("rows > 1").select("anchor")
+    # a table of its own, so that the join below shuffles both sides itself and can split a hot anchor
+    repeated = written(scan.groupBy("anchor").agg(F.count("*").alias("rows")).where("rows > 1").select("anchor"), "repeated")
     shared = written(scan.join(repeated.hint("shuffle_merge"), "anchor"), "shared")
     classes = written(
         shared.groupBy("anchor", "span").agg(F.count("*").alias("copies"), F.min(F.struct("d", "h", "start", "lead", "n")).alias("first")).select("anchor", "span", "copies", "first.*"),
