@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digest
+from .html_extraction import html_extraction
 from .jaccard_join import jaccard_join
 from .packing import pack
 from .quality_classifier import quality_classifier
@@ -46,9 +47,13 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents")).drop("row_id")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction(_table(spark, sf_dir, "pages"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept_bytes")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_bpe_round_trip, op4_quality_rules, op6_packing, op7_jaccard_join, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_bpe_round_trip, op4_quality_rules, op6_packing, op7_jaccard_join, op9_html_extraction, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
