@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digest
+from .chat_formatting import chat_formatting
 from .html_extraction import html_extraction
 from .jaccard_join import jaccard_join
 from .media import media_digest
@@ -52,6 +53,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents")).drop("row_id")
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_formatting(_table(spark, sf_dir, "conversations"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction(_table(spark, sf_dir, "pages"))
 
@@ -60,5 +65,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept_bytes")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_substring_dedup, op3_bpe_round_trip, op4_quality_rules, op5_media_columns, op6_packing, op7_jaccard_join, op9_html_extraction, op10_suffix_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_classifier, op2_substring_dedup, op3_bpe_round_trip, op4_quality_rules, op5_media_columns, op6_packing, op7_jaccard_join, op8_chat_formatting, op9_html_extraction, op10_suffix_dedup)
+}
 ORACLE_SQL: dict[str, str] = {}
