@@ -170,20 +170,24 @@ def _verify(k: int, num: int, den: int, batches: Iterator[pa.RecordBatch]) -> It
             yield pa.RecordBatch.from_arrays([pa.array(a_ids[i + good]), pa.array(b_ids[i + good])], ["a", "b"])
 
 
-def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, row_id, n_shingles, component_id for each row of docs (doc_id, text): A-Z lower-cased, `k`-word shingles.
+#: Stands for a null doc_id.
+NO_ID = -(2**63)
 
-    Rows link when den * intersection >= num * union. component_id is the least doc_id that links
-    reach. Null and empty texts have no shingles and link with nothing; equal texts of other
-    rows link. A null doc_id takes part, and is the component's id only if no other is there.
-    Sets are told apart by 64-bit hashes. row_id is a number for each input row, 0 upwards
-    within a task, and only fixed for one call. An empty table gives an empty table.
-    """
+
+def _id(column):
+    return F.coalesce(column.cast("long"), F.lit(NO_ID).cast("long"))
+
+
+def _mark(text):
+    """With doc_id, tells rows apart whose texts differ."""
+    return F.hash(F.coalesce(text, F.lit("")))
+
+
+def _linked(docs: DataFrame, k: int, num: int, den: int, rounds: int) -> DataFrame:
+    """(row_id, d, h, n, root) for each row of docs: identity, set size and component (null without shingles)."""
     spark = docs.sparkSession
     small_batches(spark)
-    nothing = F.lit(-(2**63)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    base = rows.select(F.coalesce("id", nothing).alias("d"), F.hash("text").alias("h"), "text")
+    base = docs.select(_id(F.col("doc_id")).alias("d"), _mark(F.col("text")).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
     numbered = base.withColumn("row_id", F.monotonically_increasing_id()).select("row_id", "d", "h", "text")
     profiles = written(numbered.mapInArrow(partial(_profiles, k), "row_id long, d long, h int, class long, n long"), "profiles")
     classes = profiles.where("n > 0").groupBy("class").agg(F.min(F.struct("d", "h")).alias("first")).select("class", "first.*")
@@ -226,8 +230,30 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rou
         if fresh:
             roots = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
     labelled = profiles if roots is None else profiles.join(roots.hint("shuffle_merge"), F.col("class") == F.col("node"), "left")
-    labelled = labelled.select("row_id", "d", "n", F.when(F.col("n") > 0, F.col("class") if roots is None else F.coalesce("root", "class")).alias("root"))
-    real = F.when(F.col("d") != nothing, F.col("d"))
+    labelled = labelled.select("row_id", "d", "h", "n", F.when(F.col("n") > 0, F.col("class") if roots is None else F.coalesce("root", "class")).alias("root"))
+    return labelled
+
+
+def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, row_id, n_shingles, component_id for each row of docs (doc_id, text): A-Z lower-cased, `k`-word shingles.
+
+    Rows link when den * intersection >= num * union. component_id is the least doc_id that links
+    reach. Null and empty texts have no shingles and link with nothing; equal texts of other
+    rows link. A null doc_id takes part, and is the component's id only if no other is there.
+    Sets are told apart by 64-bit hashes. row_id is a number for each input row, 0 upwards
+    within a task, and only fixed for one call. An empty table gives an empty table.
+    """
+    labelled = _linked(docs, k, num, den, rounds)
+    real = F.when(F.col("d") != NO_ID, F.col("d"))
     least = labelled.where("n > 0").groupBy("root").agg(F.min(real).alias("component_id")).withColumnRenamed("root", "of")
     out = labelled.join(least.hint("shuffle_merge"), F.col("root") == F.col("of"), "left")
     return out.select(real.alias("doc_id"), "row_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(real).alias("component_id"))
+
+
+def representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rounds: int = ROUNDS) -> DataFrame:
+    """docs with one row of each component: that of the least doc_id. Texts without words all stay, once for each doc_id."""
+    labelled = _linked(docs, k, num, den, rounds)
+    chosen = labelled.where("n > 0").groupBy("root").agg(F.min(F.struct("d", "h")).alias("x")).select("x.*").unionByName(labelled.where("n = 0").select("d", "h").distinct())
+    named = docs.select(_id(F.col("doc_id")).alias("quillon_d"), _mark(F.col("text")).alias("quillon_h"), *[docs[c] for c in docs.columns])
+    kept = named.join(chosen.hint("shuffle_merge"), (F.col("quillon_d") == F.col("d")) & (F.col("quillon_h") == F.col("h"))).dropDuplicates(["quillon_d", "quillon_h"])
+    return kept.select(*docs.columns)

@@ -140,7 +140,13 @@ def decide(rows: list[tuple], window: int) -> list[list[tuple[int, int]]]:
 
 
 class _Kept:
-    columns = [("kept_bytes", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+    """The remaining bytes; as a text, without characters that were cut in two, if `text`."""
+
+    def __init__(self, text: bool):
+        self.text = text
+        self.columns = [("kept_text", pa.string()) if text else ("kept_bytes", pa.binary()), *self.figures]
+
+    figures = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 
     def __call__(self, raw, offsets, symbols, covered):
         sums = np.concatenate([[0], np.cumsum(covered)])
@@ -153,17 +159,19 @@ class _Kept:
         kept_raw = raw[~covered].tobytes()
         bounds = (offsets - sums[offsets]).tolist()
         kept = [kept_raw[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-        return kept, total.tolist(), removed.tolist(), (rose[offsets[1:]] - rose[offsets[:-1]]).tolist(), [hashlib.sha256(k).hexdigest() for k in kept]
+        first = [k.decode("utf-8", "ignore") for k in kept] if self.text else kept
+        return first, total.tolist(), removed.tolist(), (rose[offsets[1:]] - rose[offsets[:-1]]).tolist(), [hashlib.sha256(k).hexdigest() for k in kept]
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carry: list[str] | None = None, hot: int | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carry: list[str] | None = None, text: bool = False, hot: int | None = None) -> DataFrame:
     """doc_id (or the columns of carry), kept_bytes, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs.
 
     Texts are taken as UTF-8 bytes. A byte is removed if a string of `window` bytes that covers
     it also starts elsewhere in the input, the same document included; matches never cross
     documents. Null and empty texts give 0, 0, 0 and the hash of nothing. Repeated rows count
-    as occurrences of each other. An empty table gives an empty table.
+    as occurrences of each other. An empty table gives an empty table. With text, kept_text
+    takes the place of kept_bytes; a character that lost some of its bytes is left out of it.
     """
     carry = carry or ["doc_id"]
     more = {} if hot is None else {"hot": hot}
-    return repeated_windows(docs, "bytes", window, gram, decide, _Kept(), "kept_bytes binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string", carry, **more)
+    return repeated_windows(docs, "bytes", window, gram, decide, _Kept(text), f"{'kept_text string' if text else 'kept_bytes binary'}, n_bytes long, n_removed long, n_spans long, kept_sha256 string", carry, **more)
