@@ -1,0 +1 @@
+"""The dialect has no streaming statements; tables of events are bounded tables here."""
