@@ -199,3 +199,23 @@ def test_recursion_limit(engine):
     engine.execute_batch("CREATE TABLE s (n INT PRIMARY KEY); INSERT INTO s (n) VALUES (1);")
     with pytest.raises(Exception, match="."):
         engine.query("WITH RECURSIVE r AS (SELECT n FROM s UNION ALL SELECT n + 1 AS n FROM r) SELECT n FROM r;").count()
+
+
+def test_shell(engine, capsys, monkeypatch):
+    from quillon import __main__ as shell
+
+    monkeypatch.setattr(shell, "Engine", lambda *_: engine)
+    assert shell.main(["", "CREATE TABLE t (id INT PRIMARY KEY); INSERT INTO t (id) VALUES (1); SELECT id FROM t;"]) == 0
+    assert "1 row(s) affected" in capsys.readouterr().out
+    lines = iter(["SELECT id", "FROM t;", "SELECT gone FROM t;"])
+
+    def line(prompt):
+        try:
+            return next(lines)
+        except StopIteration:
+            raise EOFError from None
+
+    monkeypatch.setattr("builtins.input", line)
+    assert shell.main([]) == 0
+    captured = capsys.readouterr()
+    assert "| 1  |" in captured.out and "ValidationError" in captured.err
