@@ -2,9 +2,10 @@
 
 Two sets of similarity t or more share a token among the first n - ceil(t n) + 1 of each, in
 whatever order all tokens are put. The first order puts frequent shingles last, as counted by a
-count-min sketch of fixed size over all documents; its prefixes make the candidates. The next
-orders are different hashes: a candidate whose prefixes share nothing under one of them is
-dropped before the sets are intersected.
+count-min sketch of fixed size over all documents; its prefixes make the candidates. The other
+orders are different hashes. A pair of sizes n and m has an overlap of o or more, so its prefixes
+of n - o + l and m - o + l tokens share l tokens; a candidate stays only if its prefixes share
+that many under every order. Texts are fetched and sets intersected for those that are left.
 
 No group is paired with itself. Equal sets are one class. Of a token's other classes each is
 compared with one pivot, a different one in each round, and what is linked becomes one
@@ -30,7 +31,7 @@ from .shared import small_batches, written
 #: Counters of the sketch (4 bytes each) and rows that they are merged by.
 COUNTERS, CHUNKS = 1 << 20, 64
 #: Salts of the orders after the first; pivot rounds.
-ORDERS, ROUNDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F), 2
+ORDERS, ROUNDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F), 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -133,12 +134,19 @@ def _prefixes(k: int, num: int, den: int, levels, batches: Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([_signed(token), _signed(name[doc]), pa.array(sizes[doc].astype(np.int32)), pa.array(place[keep].astype(np.int32))], ["token", "class", "n", "place"])
 
 
-def _first(owner: np.ndarray, grams: np.ndarray, sizes: np.ndarray, salt: int, num: int, den: int) -> np.ndarray:
-    """(row, token) keys of the prefixes under the order that a salt gives."""
-    order = np.lexsort((mix(grams ^ np.uint64(salt)), owner))
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    keep = np.arange(len(grams)) - bounds[owner] < prefix_size(sizes, num, den)[owner]
-    return _keys(owner[keep], grams[order][keep])
+def _orders(k: int, num: int, den: int, levels, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each class's prefixes under all orders."""
+    levels = levels.value
+    for batch, a, b, raw, offsets in _texts(batches):
+        owner, grams, sizes = shingle_sets(raw, offsets, k)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        keep = np.arange(len(grams)) - bounds[owner] < prefix_size(sizes, num, den)[owner]
+        level = levels[(grams >> np.uint64(24)).astype(np.int64) % COUNTERS]
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=b - a))]).astype(np.int32))
+        prefixes = []
+        for order in (np.lexsort((grams, level, owner)), *(np.lexsort((mix(grams ^ np.uint64(salt)), owner)) for salt in ORDERS)):
+            prefixes.append(pa.ListArray.from_arrays(ends, _signed(grams[order][keep])))
+        yield pa.RecordBatch.from_arrays([batch["class"].slice(a, b - a), pa.array(sizes), *prefixes], ["class", "n", "first", "second", "third"])
 
 
 def _keys(row: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -160,16 +168,13 @@ def _verify(k: int, num: int, den: int, batches: Iterator[pa.RecordBatch]) -> It
             n = j - i
             xo, xg, xs = shingle_sets(left[at[i] : at[j]], at[i : j + 1] - at[i], k)
             yo, yg, ys = shingle_sets(right[to[i] : to[j]], to[i : j + 1] - to[i], k)
-            alive = np.ones(n, bool)
-            for salt in ORDERS:
-                x, y = _first(xo, xg, xs, salt, num, den), _first(yo, yg, ys, salt, num, den)
-                alive[np.setdiff1d(np.arange(n), np.unique(np.repeat(np.arange(n), np.minimum(prefix_size(xs, num, den), xs))[np.isin(x, y)]))] = False
-            xk, yk = alive[xo], alive[yo]
-            common = _shared(_keys(xo[xk], xg[xk]), _keys(yo[yk], yg[yk]), xo[xk], n)
-            good = np.flatnonzero(alive & (den * common >= num * (xs + ys - common)) & (common > 0))
+            common = _shared(_keys(xo, xg), _keys(yo, yg), xo, n)
+            good = np.flatnonzero((den * common >= num * (xs + ys - common)) & (common > 0))
             yield pa.RecordBatch.from_arrays([pa.array(a_ids[i + good]), pa.array(b_ids[i + good])], ["a", "b"])
 
 
+#: Class numbers (8 bytes each) that are broadcast at most, to fetch the texts of what the filters left.
+BROADCAST_ROWS = 250_000
 #: Stands for a null doc_id.
 NO_ID = -(2**63)
 
@@ -199,13 +204,28 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, rounds: int) -> DataFra
     wanted = postings.select("class").distinct().join(classes.hint("shuffle_merge"), "class")
     texts = written(base.join(wanted.hint("shuffle_merge"), ["d", "h"]).dropDuplicates(["class"]).select("class", "text"), "texts")
 
-    # nx, px: set size and place of the shared token; the bound on the overlap holds at the pair's first shared token
-    possible = f"least(n, m) * {den} >= greatest(n, m) * {num} AND {den + num} * (1 + least(n - place, m - spot) - 1) >= {num} * (n + m)"
+    orders = written(texts.mapInArrow(partial(_orders, k, num, den, levels), "class long, n long, first array<long>, second array<long>, third array<long>"), "orders")
+
+    # the bound on the overlap from a shared token's places holds at the pair's first shared token
+    possible = f"least(n, m) * {den} >= greatest(n, m) * {num} AND {den + num} * least(n - place, m - spot) >= {num} * (n + m)"
+    # tokens that prefixes must share: o + 1 - ceil(t n), n being the larger size and o the least overlap
+    shared = f"greatest(1, ({num} * (n + m) + {den + num - 1}) div {den + num} + 1 - ({num} * greatest(n, m) + {den - 1}) div {den})"
+
+    def sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+        """pairs with columns of both classes, named column_a and column_b."""
+        for side in ("a", "b"):
+            pairs = pairs.join(table.select(F.col("class").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]).hint("shuffle_merge"), side)
+        return pairs
 
     def verified(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")).hint("shuffle_merge"), "a")
-        both = with_a.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")).hint("shuffle_merge"), "b")
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(partial(_verify, k, num, den), "a long, b long")
+        ranked = sides(pairs, orders, "n", "first").withColumnsRenamed({"n_a": "n", "n_b": "m"}).where(f"size(array_intersect(first_a, first_b)) >= {shared}")
+        left = written(ranked.select("a", "b", "n", "m"), "candidates")
+        left = sides(left, orders, "second", "third").where(f"size(array_intersect(second_a, second_b)) >= {shared} AND size(array_intersect(third_a, third_b)) >= {shared}").select("a", "b")
+        left = written(left, "survivors")
+        ids = written(left.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "wanted")
+        few = ids.count() <= BROADCAST_ROWS  # else the texts are shuffled
+        fetched = written(texts.join(F.broadcast(ids) if few else ids.hint("shuffle_merge"), "class", "left_semi"), "fetched")
+        return sides(left, fetched, "text").select("a", "b", "text_a", "text_b").mapInArrow(partial(_verify, k, num, den), "a long, b long")
 
     def sorted_pairs(df: DataFrame) -> DataFrame:
         return df.select(F.least("class", "partner").alias("a"), F.greatest("class", "partner").alias("b")).distinct()
@@ -253,7 +273,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rou
 def representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rounds: int = ROUNDS) -> DataFrame:
     """docs with one row of each component: that of the least doc_id. Texts without words all stay, once for each doc_id."""
     labelled = _linked(docs, k, num, den, rounds)
-    chosen = labelled.where("n > 0").groupBy("root").agg(F.min(F.struct("d", "h")).alias("x")).select("x.*").unionByName(labelled.where("n = 0").select("d", "h").distinct())
+    chosen = labelled.where("n > 0").groupBy("root").agg(F.min(F.struct((F.col("d") == NO_ID).alias("unnamed"), "d", "h")).alias("x")).select("x.d", "x.h").unionByName(labelled.where("n = 0").select("d", "h").distinct())
     named = docs.select(_id(F.col("doc_id")).alias("quillon_d"), _mark(F.col("text")).alias("quillon_h"), *[docs[c] for c in docs.columns])
-    kept = named.join(chosen.hint("shuffle_merge"), (F.col("quillon_d") == F.col("d")) & (F.col("quillon_h") == F.col("h"))).dropDuplicates(["quillon_d", "quillon_h"])
+    kept = named.join(chosen.toDF("quillon_d", "quillon_h").hint("shuffle_merge"), ["quillon_d", "quillon_h"]).dropDuplicates(["quillon_d", "quillon_h"])
     return kept.select(*docs.columns)
