@@ -19,7 +19,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +31,11 @@ END_ID = 2
 WORD = re.compile(rf"[^{SPACE}]+")
 #: Characters whose normal form and lower case depend on themselves alone, and the pre-tokens among them.
 PLAIN = re.compile("[!-~À-ÖØ-öø-įĲ-ľŁ-ňŊ-ž]+")
-PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
+PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[\W_]+")
+#: The rank of a pair that never merges.
+NEVER = 1 << 30
+#: White space to str.split that isn't to the pre-tokeniser.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 class WordIds:
@@ -51,16 +54,40 @@ class WordIds:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = Generations(self._word, generation)
-        self.parts = Generations(lambda part: packed(self.merge(part.encode())), generation)
+        self.parts = Generations(self._part, generation)
+
+    def _part(self, part: str) -> bytes:
+        """One pre-token: by scans for the least rank if short, by the queue else."""
+        data = part.encode()
+        if len(data) > 32:
+            return packed(self.merge(data))
+        of, last = self.merge.byte_id, data[-1]
+        ids = [of[b] for b in data]
+        ids[-1] = self.merge.last_id[last]
+        rank_of, pairs = self.merge.ranks.get, self.merge.pairs
+        ranks = [rank_of(a << 24 | b, NEVER) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == NEVER:
+                break
+            i = ranks.index(least)
+            ids[i] = whole = pairs[least][2]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank_of(ids[i - 1] << 24 | whole, NEVER)
+            if i < len(ranks):
+                ranks[i] = rank_of(whole << 24 | ids[i + 1], NEVER)
+        return packed(ids)
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.parts[word.lower()]
         if not PLAIN.fullmatch(word) or any(t in word for t in self.special):
             return packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        found = PRETOKEN.findall(word.lower())
-        return packed(self.merge(found[0].encode())) if len(found) == 1 else b"".join(map(self.parts.__getitem__, found))
+        return b"".join(map(self.parts.__getitem__, PRETOKEN.findall(word.lower())))
 
     def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, WORD.findall(text)))
+        return b"".join(map(self.words.__getitem__, WORD.findall(text) if SEPARATORS.search(text) else text.split()))
 
 
 def cut(tokens: int, capacity: int = CAPACITY, unit: int = UNIT) -> list[tuple[int, int]]:
