@@ -7,11 +7,11 @@ orders are different hashes. A pair of sizes n and m has an overlap of o or more
 of n - o + l and m - o + l tokens share l tokens; a candidate stays only if its prefixes share
 that many under every order. Texts are fetched and sets intersected for those that are left.
 
-No group is paired with itself. Equal sets are one class. Of a token's other classes each is
-compared with one pivot, a different one in each round, and what is linked becomes one
-component; classes of one component need no further comparison. After ROUNDS rounds all pairs
-of different components that still share a token are compared, so no link between components
-is lost.
+No large group is paired with itself. Equal sets are one class. Each token of a large group names a
+random member, each class is compared with up to MEETINGS of the members that its tokens name,
+and what is linked becomes one component, whose classes need no further comparison. After ROUNDS
+rounds all pairs of different components that still share a token are compared, so no link
+between components is lost; the rounds only spare comparisons.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ from .shared import small_batches, written
 #: Counters of the sketch (4 bytes each) and rows that they are merged by.
 COUNTERS, CHUNKS = 1 << 20, 64
 #: Salts of the orders after the first; pivot rounds.
-ORDERS, ROUNDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F), 1
+ORDERS, ROUNDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F), 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -70,9 +71,24 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: str = "text"):
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as zstandard frames, a third as large where they are shuffled."""
+    squeeze = zstandard.ZstdCompressor(1)
     for batch in batches:
-        raw, offsets = text_buffers(batch[column])
+        yield pa.RecordBatch.from_arrays([batch["d"], batch["h"], pa.array([squeeze.compress((t or "").encode()) for t in batch["text"].to_pylist()], pa.binary())], ["d", "h", "text"])
+
+
+def _plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Buffers of a column of texts, or of zstandard frames."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        expand = zstandard.ZstdDecompressor()
+        column = pa.array([expand.decompress(t) for t in column.to_pylist()], pa.large_binary())
+    return text_buffers(column)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]):
+    for batch in batches:
+        raw, offsets = _plain(batch["text"])
         for a, b in pieces(offsets, 512 << 10):
             yield batch, a, b, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
@@ -144,9 +160,17 @@ def _orders(k: int, num: int, den: int, levels, batches: Iterator[pa.RecordBatch
         level = levels[(grams >> np.uint64(24)).astype(np.int64) % COUNTERS]
         ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=b - a))]).astype(np.int32))
         prefixes = []
-        for order in (np.lexsort((grams, level, owner)), *(np.lexsort((mix(grams ^ np.uint64(salt)), owner)) for salt in ORDERS)):
+        for order in (np.lexsort((grams, level, owner)), np.lexsort((mix(grams ^ np.uint64(ORDERS[0])), owner))):
             prefixes.append(pa.ListArray.from_arrays(ends, _signed(grams[order][keep])))
-        yield pa.RecordBatch.from_arrays([batch["class"].slice(a, b - a), pa.array(sizes), *prefixes], ["class", "n", "first", "second", "third"])
+        yield pa.RecordBatch.from_arrays([batch["class"].slice(a, b - a), pa.array(sizes), *prefixes], ["class", "n", "first", "second"])
+
+
+def _last_order(owner: np.ndarray, grams: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the prefixes under the last order."""
+    order = np.lexsort((mix(grams ^ np.uint64(ORDERS[1])), owner))
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    keep = np.arange(len(grams)) - bounds[owner] < prefix_size(sizes, num, den)[owner]
+    return owner[keep], _keys(owner[keep], grams[order][keep])
 
 
 def _keys(row: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -160,19 +184,26 @@ def _shared(x: np.ndarray, y: np.ndarray, x_row: np.ndarray, n: int) -> np.ndarr
 
 def _verify(k: int, num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left, at = text_buffers(batch["text_a"])
-        right, to = text_buffers(batch["text_b"])
+        left, at = _plain(batch["text_a"])
+        right, to = _plain(batch["text_b"])
         a_ids, b_ids = batch["a"].to_numpy(), batch["b"].to_numpy()
         for i in range(0, batch.num_rows, 256):
             j = min(batch.num_rows, i + 256)
             n = j - i
             xo, xg, xs = shingle_sets(left[at[i] : at[j]], at[i : j + 1] - at[i], k)
             yo, yg, ys = shingle_sets(right[to[i] : to[j]], to[i : j + 1] - to[i], k)
-            common = _shared(_keys(xo, xg), _keys(yo, yg), xo, n)
-            good = np.flatnonzero((den * common >= num * (xs + ys - common)) & (common > 0))
+            rows, x = _last_order(xo, xg, xs, num, den)
+            met = _shared(x, _last_order(yo, yg, ys, num, den)[1], rows, n)
+            least = -(-num * (xs + ys) // (den + num)) + 1 - (num * np.maximum(xs, ys) + den - 1) // den
+            alive = met >= np.maximum(least, 1)
+            xk, yk = alive[xo], alive[yo]
+            common = _shared(_keys(xo[xk], xg[xk]), _keys(yo[yk], yg[yk]), xo[xk], n)
+            good = np.flatnonzero(alive & (den * common >= num * (xs + ys - common)) & (common > 0))
             yield pa.RecordBatch.from_arrays([pa.array(a_ids[i + good]), pa.array(b_ids[i + good])], ["a", "b"])
 
 
+#: Classes of a token that make its group large; members that a class meets in a round.
+LARGE, MEETINGS = 32, 16
 #: Class numbers (8 bytes each) that are broadcast at most, to fetch the texts of what the filters left.
 BROADCAST_ROWS = 250_000
 #: Stands for a null doc_id.
@@ -202,9 +233,10 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, rounds: int) -> DataFra
     postings = written(posted.join(several.hint("shuffle_merge"), "token").distinct(), "postings")
     # the texts that can be compared at all, one for each class
     wanted = postings.select("class").distinct().join(classes.hint("shuffle_merge"), "class")
-    texts = written(base.join(wanted.hint("shuffle_merge"), ["d", "h"]).dropDuplicates(["class"]).select("class", "text"), "texts")
+    squeezed = base.mapInArrow(_squeezed, "d long, h int, text binary")
+    texts = written(squeezed.join(wanted.hint("shuffle_merge"), ["d", "h"]).dropDuplicates(["class"]).select("class", "text"), "texts")
 
-    orders = written(texts.mapInArrow(partial(_orders, k, num, den, levels), "class long, n long, first array<long>, second array<long>, third array<long>"), "orders")
+    orders = written(texts.mapInArrow(partial(_orders, k, num, den, levels), "class long, n long, first array<long>, second array<long>"), "orders")
 
     # the bound on the overlap from a shared token's places holds at the pair's first shared token
     possible = f"least(n, m) * {den} >= greatest(n, m) * {num} AND {den + num} * least(n - place, m - spot) >= {num} * (n + m)"
@@ -220,7 +252,7 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, rounds: int) -> DataFra
     def verified(pairs: DataFrame) -> DataFrame:
         ranked = sides(pairs, orders, "n", "first").withColumnsRenamed({"n_a": "n", "n_b": "m"}).where(f"size(array_intersect(first_a, first_b)) >= {shared}")
         left = written(ranked.select("a", "b", "n", "m"), "candidates")
-        left = sides(left, orders, "second", "third").where(f"size(array_intersect(second_a, second_b)) >= {shared} AND size(array_intersect(third_a, third_b)) >= {shared}").select("a", "b")
+        left = sides(left, orders, "second").where(f"size(array_intersect(second_a, second_b)) >= {shared}").select("a", "b")
         left = written(left, "survivors")
         ids = written(left.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "wanted")
         few = ids.count() <= BROADCAST_ROWS  # else the texts are shuffled
@@ -239,8 +271,16 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, rounds: int) -> DataFra
             open_tokens = written(placed.groupBy("token").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("token"), "open")
             placed = placed.join(open_tokens.hint("shuffle_merge"), "token")
         if turn < rounds:
-            pivots = written(placed.groupBy("token").agg(F.min(F.struct(F.xxhash64("root", F.lit(turn)).alias("o"), F.xxhash64("class", F.lit(turn)).alias("p"), "class", "n", "place", "root")).alias("x")).select("token", F.col("x.class").alias("partner"), F.col("x.n").alias("m"), F.col("x.place").alias("spot"), F.col("x.root").alias("heart")), "pivots")
-            met = placed.join(pivots.hint("shuffle_merge"), "token").where(f"root <> heart AND {possible}")
+            # a member of each large group, another for each token and round
+            order = F.struct(F.xxhash64("class", "token", F.lit(turn)).alias("o"), "class", "n", "place", "root")
+            pivots = placed.groupBy("token").agg(F.min(order).alias("x"), F.count("*").alias("classes")).where(F.col("classes") >= LARGE)
+            pivots = written(pivots.select("token", F.col("x.class").alias("partner"), F.col("x.n").alias("m"), F.col("x.place").alias("spot"), F.col("x.root").alias("heart")), "pivots")
+            if not pivots.take(1):
+                continue
+            near = placed.join(pivots.hint("shuffle_merge"), "token").where(f"root <> heart AND {possible}")
+            # as many members as a document has prefix tokens are named; it meets some of them
+            named = near.groupBy("class").agg(F.collect_set("partner").alias("all")).select("class", F.expr(f"slice(array_sort(transform(all, p -> struct(xxhash64(p, class, {turn}) AS o, p AS p))), 1, {MEETINGS})").alias("some"))
+            met = named.select("class", F.explode("some.p").alias("partner"))
         else:
             other = placed.select("token", F.col("class").alias("partner"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("root").alias("heart"))
             met = placed.join(other.hint("shuffle_merge"), "token").where(f"root < heart AND {possible}")
