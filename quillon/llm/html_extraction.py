@@ -3,12 +3,14 @@
 The DOMs of one host are merged by element path. A path's content importance is one minus the
 mean entropy of its texts over the host's pages: a text that every page repeats says nothing.
 An element's presentation importance is the entropy of the child sequences that pages give it.
-Branches of low composite importance are removed from each page, besides those whose tag, role
-or class says what they are (menus, adverts, forms, comments and so on). An element that marks
-itself as the main content keeps its text, however often copies of the page repeat it.
-
-Only counts per (host, path, value) are shuffled, summed before the shuffle, so one host with a
-third of all pages costs no more than its templates. What comes back to the pages is each
+Branches of low composite importance are removed from each page, inside and outside the element
+that marks itself as the main content: that mark raises a path's importance, no more. Besides, an
+element goes whose tag, role or class says that it is a menu, an advert, a form, comments and so
+on. Pages of a host with equal blocks are copies and count once, so that copies do not make their
+text look repeated.
+
+Only hashes of (host, path, value, page content) are shuffled, made distinct before the shuffle,
+so no key holds more than one host's different contents. What comes back to the pages is each
 host's list of unimportant paths.
 """
 
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches, written
 
-#: Composite importance below which a branch is removed; pages of a host before that is judged; the weight of presentation.
-THRESHOLD, LEAST_PAGES, PRESENTATION = 0.2, 5, 0.1
+#: Composite importance below which a branch is removed; pages of a host before that is judged; the weights of presentation and of a main element's mark.
+THRESHOLD, LEAST_PAGES, PRESENTATION, MARKED = 0.2, 5, 0.1, 0.1
 
 #: Fixed values of HTML: elements without content, with raw text, that break blocks, and that no text is taken from.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,12 +63,11 @@ def _traits(tag: str, attributes: str) -> tuple[str, bool, bool]:
 class Page:
     """The blocks of a page: (path, dropped, inside main, text); and elements: path -> child names."""
 
-    __slots__ = ("blocks", "children", "has_main")
+    __slots__ = ("blocks", "children")
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, bool, bool, str]] = []
         self.children: dict[str, list[str]] = {}
-        self.has_main = False
         # an open element: tag, path, dropped, inside main
         stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
         text: list[str] = []
@@ -125,7 +126,6 @@ class Page:
             self.children.setdefault(path, []).append(name)
             inside = main or (tag in MAIN and not dropped)
             dropped = dropped or noise or (outside and not main)
-            self.has_main = self.has_main or (inside and not dropped)
             stack.append((tag, f"{path}/{name}", dropped, inside and not dropped))
         flush()
 
@@ -139,8 +139,6 @@ class Page:
                 return
 
     def text(self, noise: set[int]) -> str:
-        if self.has_main:
-            return "\n".join(t for _, dropped, main, t in self.blocks if main and not dropped)
         return "\n".join(t for path, dropped, _, t in self.blocks if not dropped and path_id(path) not in noise)
 
 
@@ -149,29 +147,35 @@ def path_id(path: str) -> int:
 
 
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, path, parent, kind, value), once per page: 0 presence, 1 presentation, 2 content."""
+    """Rows (host, path, parent, kind, value, content), once per page: 0 presence (value: inside main), 1 presentation, 2 text."""
     for batch in batches:
         hosts, rows = [], []
         for host, source in zip(batch["host"].to_pylist(), batch["html"].to_pylist()):
             page = Page(source or "")
-            seen = set()
-            for path, dropped, main, text in page.blocks:
-                if not dropped and not main:
-                    parent = path_id(path.rpartition("/")[0])
-                    seen.add((path_id(path), parent, 0, 0))
-                    seen.add((path_id(path), parent, 2, path_id(text)))
+            judged = [(path, main, text) for path, dropped, main, text in page.blocks if not dropped]
+            content = path_id("\0".join(f"{path}\0{text}" for path, _, text in judged))
+            ids, seen = {}, set()
+            for path, main, text in judged:
+                if path not in ids:
                     above = path.rpartition("/")[0]
-                    seen.add((parent, 0, 1, path_id(" ".join(dict.fromkeys(page.children.get(above, []))))))
+                    ids[path] = path_id(path), path_id(above)
+                    seen.add((*ids[path], 0, int(main), content))
+                    seen.add((ids[path][1], 0, 1, path_id(" ".join(dict.fromkeys(page.children.get(above, [])))), content))
+                seen.add((*ids[path], 2, path_id(text), content))
             rows.extend(seen)
             hosts.extend([host] * len(seen))
-        columns = list(zip(*rows)) if rows else [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))]], ["host", "path", "parent", "kind", "value"])
+        columns = list(zip(*rows)) if rows else [(), (), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))]], ["host", "path", "parent", "kind", "value", "content"])
+
 
+def style_tree(pages: DataFrame, copies: bool = True) -> DataFrame:
+    """(host, path, m, importance): pages with a path and its composite importance, for each content path of a host's merged DOM.
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, importance): the composite importance of each content path of a host's merged DOM."""
-    counts = written(pages.select("host", "html").mapInArrow(_tree, "host string, path long, parent long, kind int, value long").groupBy("host", "path", "parent", "kind", "value").agg(F.count("*").alias("n")), "tree")
-    presence = counts.where("kind = 0").select("host", "path", "parent", F.col("n").alias("m"))
+    Unless `copies`, pages of a host that have equal blocks count as one.
+    """
+    rows = pages.select("host", "html").mapInArrow(_tree, "host string, path long, parent long, kind int, value long, content long")
+    counts = written((rows if copies else rows.distinct()).groupBy("host", "path", "parent", "kind", "value").agg(F.count("*").alias("n")), "tree")
+    presence = counts.where("kind = 0").select("host", "path", "parent", F.col("value").alias("main"), F.col("n").alias("m"))
     # a text on n of m pages has the entropy log n / log m
     content = counts.where("kind = 2").groupBy("host", "path", "parent").agg(F.avg(F.log("n")).alias("repeated"))
     styles = counts.where("kind = 1").groupBy("host", "path").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("weighted"))
@@ -179,7 +183,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
     style = styles.select("host", F.col("path").alias("parent"), F.when(F.col("total") > 1, (F.log("total") - F.col("weighted") / F.col("total")) / F.log("total")).otherwise(1.0).alias("style"))
     leaf = presence.join(content, ["host", "path", "parent"]).join(style, ["host", "parent"], "left")
     own = F.when(F.col("m") > 1, 1 - F.col("repeated") / F.log("m")).otherwise(1.0)
-    return leaf.select("host", "path", "m", (PRESENTATION * F.coalesce("style", F.lit(1.0)) + (1 - PRESENTATION) * own).alias("importance"))
+    tree = PRESENTATION * F.coalesce("style", F.lit(1.0)) + (1 - PRESENTATION) * own
+    return leaf.select("host", "path", "m", (tree + MARKED * F.col("main") * (1 - tree)).alias("importance"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,14 +197,14 @@ def html_extraction(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html).
 
     Null and empty pages give "". Blocks are joined by \\n; character references are decoded and
-    white space inside a block is one space, as is <br>. A null url belongs to the host "". A
-    page with an article or main element gives that element's text; any other page gives what
-    its host's style tree holds important. Repeated rows count as pages each.
+    white space inside a block is one space, as is <br>. A null url belongs to the host "". Every
+    page gives what its host's style tree holds important and no tag, role or class calls noise.
+    Copies of a page count once in the tree.
     """
     small_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col("page_id").alias("own_page_id"), F.col("url").alias("own_url"), host.alias("host"), "html")
-    tree = style_tree(rows)
+    tree = style_tree(rows, copies=False)
     noise = written(tree.where((F.col("m") >= LEAST_PAGES) & (F.col("importance") < THRESHOLD)).groupBy("host").agg(F.collect_set("path").alias("noise")), "noise")
     kinds = dict(pages.dtypes)
     out = rows.join(noise, "host", "left").select("own_page_id", "own_url", "html", "noise").mapInArrow(_extract, f"own_page_id {kinds['page_id']}, own_url {kinds['url']}, text string, n_chars long")

@@ -57,6 +57,18 @@ def test_importance_is_entropy(spark):
     assert row.m == 16 and row.importance == pytest.approx(0.9 * 0.25)
 
 
+def test_style_tree_judges_pages_with_an_article(spark):
+    # the text stands beside a teaser that the site repeats
+    teaser = [(i, f"http://t.com/{i}", f"<div><p>text {i}</p></div><article class=teaser>Buy now</article>") for i in range(8)]
+    # inside the article, a line of the template; four copies of one page are no template
+    inside = [(20 + i, f"http://i.com/{i}", f"<article><p>text {max(i, 3)}</p><h6>All rights reserved</h6></article>") for i in range(12)]
+    # nothing but copies: nothing is known of the template
+    same = [(40 + i, f"http://s.com/{i}", "<main><p>only text</p></main>") for i in range(12)]
+    pages = spark.createDataFrame(teaser + inside + same, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_extraction(pages).collect()}
+    assert got == {i: f"text {i}" for i in range(8)} | {20 + i: f"text {max(i, 3)}" for i in range(12)} | {40 + i: "only text" for i in range(12)}
+
+
 # chats
 
 
