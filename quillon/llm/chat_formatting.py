@@ -3,7 +3,8 @@
 The states are a role's first or later line. A line shows a speaker marker or none, a blank line
 before it or none, its place, and its length; these are independent given the state. The model
 is counted on transcripts whose roles are known, over all of them, and smoothed. Viterbi's best
-path cuts a transcript into turns, which are rendered in one canonical form.
+path cuts a transcript into turns, which are rendered in one canonical form. A turn keeps its
+lines as they stand, blank ones between them too; only a marker at its start is taken off.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ NAMES = {"system": "system instruction instructions context", "user": "user huma
 SPEAKER = {name: role for role, names in NAMES.items() for name in names.split()}
 MARKER = re.compile(r"^\s*(?:(?:[#*>\[<|(]+\s*)?([A-Za-z]+)\s*[\]>|)*]*\s*:\s*[*]*|(?:#{1,6}|[\[<(*|]+)\s*([A-Za-z]+)\s*[\]>)*|:]*(?=\s|$))\s*")
 LENGTHS = 8
+#: Blank lines at a turn's start, and white space at its end: no part of its text.
+AROUND = re.compile(r"\A(?:[^\S\n]*\n)+|\s+\Z")
 
 
 def read_line(line: str) -> tuple[str, str]:
@@ -39,18 +42,25 @@ def read_line(line: str) -> tuple[str, str]:
 
 
 def read_transcript(text: str) -> list[tuple[tuple, str]]:
-    """(features, text) of each line that isn't blank."""
-    out, blank = [], False
+    """(features, the line after the blank lines before it) of each line that isn't blank."""
+    out, blank = [], []
     for line in (text or "").split("\n"):
         if not line.strip():
-            blank = True
+            blank.append(line)
             continue
         role, rest = read_line(line)
-        out.append(((("marker", role), ("blank", blank), ("first", not out), ("length", min(LENGTHS - 1, len(rest).bit_length()))), rest))
-        blank = False
+        out.append(((("marker", role), ("blank", bool(blank)), ("first", not out), ("length", min(LENGTHS - 1, len(rest).bit_length()))), "\n".join([*blank, line])))
+        blank = []
     return out
 
 
+def opening(role: str, lines: str) -> str:
+    """A turn's first line, without blank lines before it and without a marker of the turn's role."""
+    line = lines.rpartition("\n")[2]
+    named, rest = read_line(line)
+    return rest if named == role else line
+
+
 VALUES = {"marker": 4, "blank": 2, "first": 2, "length": LENGTHS}
 
 
@@ -106,8 +116,8 @@ class Model:
             if later and out and out[-1][0] == role:
                 out[-1][1].append(line)
             else:
-                out.append((role, [line]))
-        return [(role, "\n".join(x for x in lines if x).strip()) for role, lines in out]
+                out.append((role, [opening(role, line)]))
+        return [(role, AROUND.sub("", "\n".join(lines))) for role, lines in out]
 
 
 def render(turns: list[tuple[str, str]]) -> str:
@@ -185,7 +195,7 @@ def _parsed(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for turns in batch["turns"].to_pylist():
             text, known = _write(turns)
             got = model.turns(text)
-            right = Counter((role, " ".join(body.split())) for role, body in known) & Counter((role, " ".join(body.split())) for role, body in got)
+            right = Counter((role, body.strip()) for role, body in known) & Counter((role, body.strip()) for role, body in got)
             n.append(len(known))
             found.append(len(got))
             agreed.append(sum(right.values()))
@@ -199,7 +209,7 @@ def chat_formatting(conversations: DataFrame) -> DataFrame:
     Null and blank texts are no turns; a conversation of nothing else renders "". A null or
     unknown role counts as user. Equal rows count once; of rows with one turn number, the order
     is by role and text. Turns are parsed PART at a time, so no conversation is gathered whole.
-    n_agreed counts the turns found again with their role and words.
+    n_agreed counts the turns found again with their role and text, but for white space around it.
     """
     small_batches(conversations.sparkSession)
     parts = written(transcripts(conversations), "transcripts")

@@ -90,6 +90,16 @@ def test_plain_transcripts(spark, conversations):
     assert got == {1: "<|user|>\nhello\nthere\n<|end|>\n<|assistant|>\nhi\n<|end|>\n<|user|>\nbye\n<|end|>\n", 2: "", 3: ""}
 
 
+def test_turns_keep_their_lines(spark):
+    bodies = ["What is it?\nContext: a sum\n# Question\n\n\n  of two", "It is\nAnswer: 42\n \nas shown", "Thanks"]
+    rows = [(c, t, ("user", "assistant", "user")[t], bodies[t]) for c in range(40) for t in range(3)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = chat.chat_formatting(table).collect()
+    # blank lines before marked turns and after marker lines are not the turn's
+    whole = chat.render([("user", bodies[0]), ("assistant", bodies[1]), ("user", bodies[2])])
+    assert sum(r.n_agreed == 3 for r in got) >= 20 and all((r.rendered == whole) == (r.n_agreed == 3) for r in got)
+
+
 def test_viterbi_finds_the_best_path(conversations):
     from itertools import product
 
