@@ -100,6 +100,22 @@ def test_turns_keep_their_lines(spark):
     assert sum(r.n_agreed == 3 for r in got) >= 20 and all((r.rendered == whole) == (r.n_agreed == 3) for r in got)
 
 
+def test_long_conversations_are_parsed_whole(spark):
+    # border turns in all marker styles, marked and not; a gap of a part's length; a last line that the next part may continue
+    texts = ["And", "words\nmore", "x", "Answer: 42", "well\n\n- one\n- two"]
+    rows = [(c if c else None, t + (64 if t > 140 else 0), ("user", "assistant")[(t + t // 7) % 2], texts[(t * 7 + c) % 5]) for c in range(30) for t in range(200)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    parts = chat.transcripts(table)
+    model = chat.fit(parts)
+    turns, got = {}, {}
+    for r in sorted(parts.collect(), key=lambda r: r.part):
+        turns.setdefault(r.conv_id, []).extend(r.turns)
+    for r in sorted(chat.chat_formatting(table).collect(), key=lambda r: r.part):
+        got[r.conv_id] = got.get(r.conv_id, "") + r.rendered
+    assert len(got) == 30 and all(len(t) == 200 for t in turns.values())
+    assert got == {c: chat.render(model.turns(chat._write(t)[0])) for c, t in turns.items()}
+
+
 def test_viterbi_finds_the_best_path(conversations):
     from itertools import product
 
