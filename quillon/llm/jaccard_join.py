@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .sequences import BASE_A, BASE_B, PrefixHash, mix, pieces, text_buffers, word_bounds, word_hashes
-from .shared import small_batches, written
+from .shared import row_mark, small_batches, written
 
 #: Counters of the sketch (4 bytes each) and rows that they are merged by.
 COUNTERS, CHUNKS = 1 << 20, 64
@@ -214,18 +214,13 @@ def _id(column):
     return F.coalesce(column.cast("long"), F.lit(NO_ID).cast("long"))
 
 
-def _mark(text):
-    """With doc_id, tells rows apart whose texts differ."""
-    return F.hash(F.coalesce(text, F.lit("")))
-
-
 def _linked(docs: DataFrame, k: int, num: int, den: int, rounds: int) -> DataFrame:
     """(row_id, d, h, n, root) for each row of docs: identity, set size and component (null without shingles)."""
     spark = docs.sparkSession
     small_batches(spark)
-    base = docs.select(_id(F.col("doc_id")).alias("d"), _mark(F.col("text")).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    base = docs.select(_id(F.col("doc_id")).alias("d"), row_mark(F.col("text")).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
     numbered = base.withColumn("row_id", F.monotonically_increasing_id()).select("row_id", "d", "h", "text")
-    profiles = written(numbered.mapInArrow(partial(_profiles, k), "row_id long, d long, h int, class long, n long"), "profiles")
+    profiles = written(numbered.mapInArrow(partial(_profiles, k), "row_id long, d long, h long, class long, n long"), "profiles")
     classes = profiles.where("n > 0").groupBy("class").agg(F.min(F.struct("d", "h")).alias("first")).select("class", "first.*")
     levels = spark.sparkContext.broadcast(rarity(docs, k))
     posted = base.select("text").mapInArrow(partial(_prefixes, k, num, den, levels), "token long, class long, n int, place int")
@@ -233,7 +228,7 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, rounds: int) -> DataFra
     postings = written(posted.join(several.hint("shuffle_merge"), "token").distinct(), "postings")
     # the texts that can be compared at all, one for each class
     wanted = postings.select("class").distinct().join(classes.hint("shuffle_merge"), "class")
-    squeezed = base.mapInArrow(_squeezed, "d long, h int, text binary")
+    squeezed = base.mapInArrow(_squeezed, "d long, h long, text binary")
     texts = written(squeezed.join(wanted.hint("shuffle_merge"), ["d", "h"]).dropDuplicates(["class"]).select("class", "text"), "texts")
 
     orders = written(texts.mapInArrow(partial(_orders, k, num, den, levels), "class long, n long, first array<long>, second array<long>"), "orders")
@@ -314,6 +309,6 @@ def representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     """docs with one row of each component: that of the least doc_id. Texts without words all stay, once for each doc_id."""
     labelled = _linked(docs, k, num, den, rounds)
     chosen = labelled.where("n > 0").groupBy("root").agg(F.min(F.struct((F.col("d") == NO_ID).alias("unnamed"), "d", "h")).alias("x")).select("x.d", "x.h").unionByName(labelled.where("n = 0").select("d", "h").distinct())
-    named = docs.select(_id(F.col("doc_id")).alias("quillon_d"), _mark(F.col("text")).alias("quillon_h"), *[docs[c] for c in docs.columns])
+    named = docs.select(_id(F.col("doc_id")).alias("quillon_d"), row_mark(F.col("text")).alias("quillon_h"), *[docs[c] for c in docs.columns])
     kept = named.join(chosen.toDF("quillon_d", "quillon_h").hint("shuffle_merge"), ["quillon_d", "quillon_h"]).dropDuplicates(["quillon_d", "quillon_h"])
     return kept.select(*docs.columns)

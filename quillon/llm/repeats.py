@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sequences import BASE_A, BASE_B, BYTE_CODES, PrefixHash, anchored_spans, mix, pieces, text_buffers, word_bounds, word_hashes
-from .shared import small_batches, written
+from .shared import row_mark, small_batches, written
 
 #: Different contents of one anchor beyond which its windows are counted singly.
 HOT = 4000
 #: Symbols of one reference shard.
 SHARD = {"words": 30_000, "bytes": 400_000}
 _PIECE = {"words": 512 << 10, "bytes": 256 << 10}
-_RECORD = "anchor long, span long, d long, h int, start int, lead short, n short"
+_RECORD = "anchor long, span long, d long, h long, start int, lead short, n short"
 
 
 class Symbols:
@@ -169,14 +169,14 @@ def _runs(batches: Iterator[pa.RecordBatch], unit: str, window: int, finish: Cal
 def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, decide: Callable, finish: Callable, schema: str, carry: list[str], hot: int = HOT) -> DataFrame:
     """docs (doc_id, text and the columns of `carry`): one row per input row, `carry` plus finish's columns.
 
-    Rows are told apart by doc_id and a hash of the text, null-safe; rows with both equal are
+    Rows are told apart by doc_id and 64 bits of hash of the text, null-safe; rows with both equal are
     equal texts and get equal results. decide(rows, window) gets (anchor, copies, lead, n,
     content) of whole anchors and gives each row's inclusive ranges of repeated window offsets.
     """
     spark = docs.sparkSession
     small_batches(spark)
     one = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.hash(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"own_{c}") for c in carry]
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), row_mark(F.col("text")).alias("h"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"own_{c}") for c in carry]
     )
     scan = one.select("d", "h", "text").mapInArrow(partial(_records, unit, window, gram), _RECORD)
     # a table of its own, so that the join below shuffles both sides itself and can split a hot anchor

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch between the JVM and Python. Documents average a few KB and may
 #: be a hundred times longer, so the default of 10,000 rows would make batches of many MB.
@@ -42,3 +43,8 @@ def small_batches(spark: SparkSession) -> None:
 def own_names(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that other columns of the input cannot clash with an operator's own."""
     return df.select(*[df[n] for n in names])
+
+
+def row_mark(text: Column) -> Column:
+    """With doc_id, tells rows apart whose texts differ: 64 bits, as 32 collide among the rows of one id or of none."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))

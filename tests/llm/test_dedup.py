@@ -171,3 +171,16 @@ def test_jaccard_hostile_rows(hostile, nothing):
     assert jaccard_join(nothing).count() == 0
     kept = representatives(hostile)
     assert kept.columns == hostile.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 8, 9, 10]
+
+
+def test_rows_without_id_whose_texts_collide_in_32_bits(spark):
+    shared = " ".join(f"shared{i:02}" for i in range(40))
+    texts = [f"x25 {shared}", f"{shared} y140667", "p35083 a b c d", "p122595 a b c d"]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id bigint, text string")
+    marks = [r.h for r in docs.selectExpr("hash(text) AS h").collect()]
+    assert marks[0] == marks[1] and marks[2] == marks[3]
+    assert sorted(r.kept_text for r in substring_dedup(docs).collect()) == sorted(["x25", "y140667", *texts[2:]])
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(docs).collect())
+    assert got == sorted(brute_bytes(texts, 200))
+    kept = {r.text for r in representatives(docs).collect()}
+    assert len(kept) == 3 and set(texts[2:]) < kept
