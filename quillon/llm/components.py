@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, root): each node of edges (u, v, long) with the least node of its component.
 
     Every round moves edges towards the least neighbour, by joins on aggregated minima; a hub's
-    edges are an ordinary skewed join, and nothing is gathered on the driver but two sums.
+    edges are an ordinary skewed join, and nothing is gathered on the driver but two sums. Rounds
+    end when the table of edges is stable; if that takes more than most_rounds, an error is raised.
     """
     state = None
     table = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    for _ in range(most_rounds):
+    for done in count():
+        if done == most_rounds:
+            raise RecursionError(f"the components were not stable in {most_rounds} rounds")
         both = table.unionByName(table.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least.hint("shuffle_merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

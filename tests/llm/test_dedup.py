@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quillon.llm.components import components
 from quillon.llm.jaccard_join import jaccard_join, representatives
 from quillon.llm.substring_dedup import SuffixAutomaton, substring_dedup
 from quillon.llm.suffix_dedup import HashedString, common_prefix, partners, sort_suffixes, suffix_dedup
@@ -184,3 +185,10 @@ def test_rows_without_id_whose_texts_collide_in_32_bits(spark):
     assert got == sorted(brute_bytes(texts, 200))
     kept = {r.text for r in representatives(docs).collect()}
     assert len(kept) == 3 and set(texts[2:]) < kept
+
+
+def test_components_never_come_unfinished(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u bigint, v bigint")
+    with pytest.raises(RecursionError):
+        components(edges, most_rounds=2)
+    assert {r.node: r.root for r in components(edges).collect()} == {i: 0 for i in range(61)} | {100: 100, 101: 100}
