@@ -1,17 +1,21 @@
 """Operator 7, n-gram Jaccard join by prefixes under several global token orders.
 
-Two sets of similarity t or more share a token among the first n - ceil(t n) + 1 of each, in
-whatever order all tokens are put. The first order puts frequent shingles last, as counted by a
-count-min sketch of fixed size over all documents; its prefixes make the candidates. The other
-orders are different hashes. A pair of sizes n and m has an overlap of o or more, so its prefixes
-of n - o + l and m - o + l tokens share l tokens; a candidate stays only if its prefixes share
-that many under every order. Texts are fetched and sets intersected for those that are left.
-
-No large group is paired with itself. Equal sets are one class. Each token of a large group names a
-random member, each class is compared with up to MEETINGS of the members that its tokens name,
-and what is linked becomes one component, whose classes need no further comparison. After ROUNDS
-rounds all pairs of different components that still share a token are compared, so no link
-between components is lost; the rounds only spare comparisons.
+Two sets of sizes n and m with similarity t or more have o = ceil(t (n + m) / (1 + t)) tokens or
+more in common, and so share l tokens among the first n - o + l and m - o + l, in whatever order
+all tokens are put. Three orders filter one after the other, before any pair is verified:
+
+1. By hash. All documents' prefixes of n - c + 1 + c div 16 tokens (c = ceil(t n)) are counted by
+   token; a set of which fewer than 1 + c div 16 of these are in any other set links with none.
+   The texts of what is left, one for each different set, are fetched.
+2. By frequency among these sets, rare tokens first, exactly counted. Sets meet at a common token
+   of their first n - c + 1; its places bound the overlap, as at the pair's first common token.
+3. By another hash. Pairs that met share enough of their prefixes under the first and this order.
+
+Whole sets are intersected only then. No large group is paired with itself: equal sets are one
+class; a token's classes first meet its hub, the class that has the least rare tokens before it,
+and what is linked becomes one component. After `rounds` rounds of hubs, classes of different
+components that still share a token are compared, so that no link between components is lost;
+a token's largest component meets the others, never itself.
 """
 
 from __future__ import annotations
@@ -22,38 +26,33 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .sequences import BASE_A, BASE_B, PrefixHash, mix, pieces, text_buffers, word_bounds, word_hashes
-from .shared import row_mark, small_batches, written
+from .sequences import SALT_A, SALT_B, WindowHash, mix, pieces, text_buffers, word_bounds, word_hashes
+from .shared import row_keys, small_batches, written
 
-#: Counters of the sketch (4 bytes each) and rows that they are merged by.
-COUNTERS, CHUNKS = 1 << 20, 64
-#: Salts of the orders after the first; pivot rounds.
-ORDERS, ROUNDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F), 2
+#: Rounds in which a token's classes meet its hub; a prefix of the first order is longer by c div SPARE tokens.
+ROUNDS, SPARE = 1, 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, shingle hash) of all distinct shingles, sorted by document, and each document's count."""
+    """(document, shingle hash) of all distinct shingles, sorted by document and hash, and each document's count."""
     n = len(offsets) - 1
     starts, ends, first = word_bounds(raw, offsets)
     codes = word_hashes(_LOWER[raw], starts, ends)
     words = np.diff(first)
     doc = np.repeat(np.arange(n), words)
-    if len(codes) >= k:
-        grams = PrefixHash(codes, BASE_B).windows(k)
-        at = np.flatnonzero(doc[: len(grams)] == doc[k - 1 :])
-        owner, grams = doc[at], mix(grams[at])
-    else:
-        owner, grams = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    hashes = WindowHash(codes)
+    grams = hashes.windows(k)
+    at = np.flatnonzero(doc[: len(grams)] == doc[k - 1 :]) if len(grams) else np.zeros(0, np.int64)
+    owner, grams = doc[at], mix(grams[at])
     short = np.flatnonzero((words > 0) & (words < k))
-    if len(short):  # the whole sequence is the one shingle; its length keeps it apart from longer ones
-        whole = mix(PrefixHash(codes, BASE_B).slices(first[short], first[short + 1]) + words[short].astype(np.uint64) * np.uint64(BASE_A))
-        owner, grams = np.concatenate([owner, short]), np.concatenate([grams, whole])
+    if len(short):  # the whole sequence is the one shingle; slices hash their length too
+        owner, grams = np.concatenate([owner, short]), np.concatenate([grams, hashes.slices(first[short], first[short + 1])])
     order = np.lexsort((grams, owner))
     owner, grams = owner[order], grams[order]
     fresh = np.ones(len(grams), bool)
@@ -62,11 +61,6 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarr
     return owner, grams, np.bincount(owner, minlength=n)
 
 
-def prefix_size(n, num: int, den: int):
-    """n - ceil(num n / den) + 1."""
-    return n - (num * n + den - 1) // den + 1
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -75,187 +69,102 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as zstandard frames, a third as large where they are shuffled."""
     squeeze = zstandard.ZstdCompressor(1)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch["d"], batch["h"], pa.array([squeeze.compress((t or "").encode()) for t in batch["text"].to_pylist()], pa.binary())], ["d", "h", "text"])
-
-
-def _plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buffers of a column of texts, or of zstandard frames."""
-    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
-        expand = zstandard.ZstdDecompressor()
-        column = pa.array([expand.decompress(t) for t in column.to_pylist()], pa.large_binary())
-    return text_buffers(column)
+        yield pa.RecordBatch.from_arrays([batch["k1"], batch["k2"], pa.array([squeeze.compress((t or "").encode()) for t in batch["text"].to_pylist()], pa.binary())], ["k1", "k2", "text"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]):
+    """Pieces of the batches: (batch, first row, end, bytes, offsets); texts may be zstandard frames."""
+    expand = zstandard.ZstdDecompressor()
     for batch in batches:
-        raw, offsets = _plain(batch["text"])
+        column = batch["text"]
+        if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+            column = pa.array([expand.decompress(t) for t in column.to_pylist()], pa.large_binary())
+        raw, offsets = text_buffers(column)
         for a, b in pieces(offsets, 512 << 10):
             yield batch, a, b, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-def _sketch(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(COUNTERS, np.int64)
-    for _, _, _, raw, offsets in _texts(batches):
-        counts += np.bincount((shingle_sets(raw, offsets, k)[1] >> np.uint64(24)).astype(np.int64) % COUNTERS, minlength=COUNTERS)
-    if counts.any():
-        salt = int(counts.sum()) % 16
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([salt] * CHUNKS, pa.int32()), pa.array([c.astype("<u4").tobytes() for c in np.split(np.minimum(counts, 2**31), CHUNKS)], pa.binary())], ["chunk", "salt", "counts"])
+def _prefix(owner: np.ndarray, grams: np.ndarray, sizes: np.ndarray, longest: np.ndarray) -> pa.ListArray:
+    """The first tokens of each document, as many as longest says."""
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    keep = np.arange(len(grams)) - bounds[owner] < longest[owner]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=len(sizes)))]).astype(np.int32)), _signed(grams[keep]))
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums a chunk's rows as they stream by."""
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for chunk, counts in zip(batch["chunk"].to_pylist(), batch["counts"]):
-            value = np.frombuffer(counts.as_buffer(), "<u4").astype(np.int64)
-            held[chunk] = held[chunk] + value if chunk in held else value
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([0] * len(held), pa.int32()), pa.array([np.minimum(v, 2**31).astype("<u4").tobytes() for v in held.values()], pa.binary())], ["chunk", "salt", "counts"])
-
-
-def rarity(docs: DataFrame, k: int) -> np.ndarray:
-    """A level for each counter: 0 for tokens that are not far more frequent than the mean counter, else more."""
-    schema = "chunk int, salt int, counts binary"
-    part = docs.select("text").mapInArrow(partial(_sketch, k), schema).repartition(CHUNKS, "chunk", "salt").mapInArrow(_merge, schema)
-    rows = part.repartition(CHUNKS, "chunk").mapInArrow(_merge, schema).collect()  # COUNTERS counters in all
-    counts = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.int64)
-    for row in rows:
-        counts[row["chunk"]] = np.frombuffer(row["counts"], "<u4")
-    counts = counts.reshape(-1)
-    ground = int(np.log2(counts.mean() + 1)) + 2
-    return np.maximum(np.log2(counts + 1).astype(np.int64) - ground, 0).astype(np.uint8)
-
-
-def _profiles(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's class (a commutative hash of its set) and set size."""
+def _profiles(k: int, num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's class (two commutative hashes of its set), set size, and prefix under the first order."""
     for batch, a, b, raw, offsets in _texts(batches):
         owner, grams, sizes = shingle_sets(raw, offsets, k)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(grams ^ np.uint64(BASE_A)))])
         bounds = np.concatenate([[0], np.cumsum(sizes)])
-        name = mix(total[bounds[1:]] - total[bounds[:-1]] + sizes.astype(np.uint64))
-        yield pa.RecordBatch.from_arrays([*[batch[c].slice(a, b - a) for c in ("row_id", "d", "h")], _signed(name), pa.array(sizes)], ["row_id", "d", "h", "class", "n"])
+        names = []
+        for salt in (SALT_A, SALT_B):
+            total = np.concatenate([[np.uint64(0)], np.cumsum(mix(grams ^ np.uint64(salt)))])
+            names.append(_signed(mix(total[bounds[1:]] - total[bounds[:-1]] + sizes.astype(np.uint64))))
+        least = (num * sizes + den - 1) // den
+        first = _prefix(owner, grams, sizes, sizes - least + 1 + least // SPARE)
+        yield pa.RecordBatch.from_arrays([*[batch[c].slice(a, b - a) for c in ("row_id", "d", "k1", "k2")], *names, pa.array(sizes), first], ["row_id", "d", "k1", "k2", "ca", "cb", "n", "first"])
 
 
-def _prefixes(k: int, num: int, den: int, levels, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    levels = levels.value
-    for _, _, _, raw, offsets in _texts(batches):
-        owner, grams, sizes = shingle_sets(raw, offsets, k)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(grams ^ np.uint64(BASE_A)))])
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        name = mix(total[bounds[1:]] - total[bounds[:-1]] + sizes.astype(np.uint64))
-        level = levels[(grams >> np.uint64(24)).astype(np.int64) % COUNTERS]
-        order = np.lexsort((grams, level, owner))
-        place = np.arange(len(grams)) - bounds[owner]
-        keep = place < prefix_size(sizes, num, den)[owner]
-        token, doc = grams[order][keep], owner[keep]
-        yield pa.RecordBatch.from_arrays([_signed(token), _signed(name[doc]), pa.array(sizes[doc].astype(np.int32)), pa.array(place[keep].astype(np.int32))], ["token", "class", "n", "place"])
-
-
-def _orders(k: int, num: int, den: int, levels, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each class's prefixes under all orders."""
-    levels = levels.value
+def _sets(k: int, num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each class's whole set, and its prefixes under the first and the third order."""
     for batch, a, b, raw, offsets in _texts(batches):
         owner, grams, sizes = shingle_sets(raw, offsets, k)
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        keep = np.arange(len(grams)) - bounds[owner] < prefix_size(sizes, num, den)[owner]
-        level = levels[(grams >> np.uint64(24)).astype(np.int64) % COUNTERS]
-        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=b - a))]).astype(np.int32))
-        prefixes = []
-        for order in (np.lexsort((grams, level, owner)), np.lexsort((mix(grams ^ np.uint64(ORDERS[0])), owner))):
-            prefixes.append(pa.ListArray.from_arrays(ends, _signed(grams[order][keep])))
-        yield pa.RecordBatch.from_arrays([batch["class"].slice(a, b - a), pa.array(sizes), *prefixes], ["class", "n", "first", "second"])
-
-
-def _last_order(owner: np.ndarray, grams: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the prefixes under the last order."""
-    order = np.lexsort((mix(grams ^ np.uint64(ORDERS[1])), owner))
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    keep = np.arange(len(grams)) - bounds[owner] < prefix_size(sizes, num, den)[owner]
-    return owner[keep], _keys(owner[keep], grams[order][keep])
-
-
-def _keys(row: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    return mix(grams + (row.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE_A))
-
+        least = (num * sizes + den - 1) // den
+        other = grams[np.lexsort((mix(grams ^ np.uint64(SALT_B)), owner))]
+        lists = [_prefix(owner, grams, sizes, sizes), _prefix(owner, grams, sizes, sizes - least + 1 + least // SPARE), _prefix(owner, other, sizes, sizes - least + 1)]
+        yield pa.RecordBatch.from_arrays([*[batch[c].slice(a, b - a) for c in ("ca", "cb")], pa.array(sizes), *lists], ["ca", "cb", "n", "tokens", "first", "third"])
 
-def _shared(x: np.ndarray, y: np.ndarray, x_row: np.ndarray, n: int) -> np.ndarray:
-    """How many keys of each row x and y have in common (keys are distinct within each)."""
-    return np.bincount(x_row[np.isin(x, y)], minlength=n)
 
-
-def _verify(k: int, num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        left, at = _plain(batch["text_a"])
-        right, to = _plain(batch["text_b"])
-        a_ids, b_ids = batch["a"].to_numpy(), batch["b"].to_numpy()
-        for i in range(0, batch.num_rows, 256):
-            j = min(batch.num_rows, i + 256)
-            n = j - i
-            xo, xg, xs = shingle_sets(left[at[i] : at[j]], at[i : j + 1] - at[i], k)
-            yo, yg, ys = shingle_sets(right[to[i] : to[j]], to[i : j + 1] - to[i], k)
-            rows, x = _last_order(xo, xg, xs, num, den)
-            met = _shared(x, _last_order(yo, yg, ys, num, den)[1], rows, n)
-            least = -(-num * (xs + ys) // (den + num)) + 1 - (num * np.maximum(xs, ys) + den - 1) // den
-            alive = met >= np.maximum(least, 1)
-            xk, yk = alive[xo], alive[yo]
-            common = _shared(_keys(xo[xk], xg[xk]), _keys(yo[yk], yg[yk]), xo[xk], n)
-            good = np.flatnonzero(alive & (den * common >= num * (xs + ys - common)) & (common > 0))
-            yield pa.RecordBatch.from_arrays([pa.array(a_ids[i + good]), pa.array(b_ids[i + good])], ["a", "b"])
-
-
-#: Classes of a token that make its group large; members that a class meets in a round.
-LARGE, MEETINGS = 32, 16
-#: Class numbers (8 bytes each) that are broadcast at most, to fetch the texts of what the filters left.
-BROADCAST_ROWS = 250_000
-#: Stands for a null doc_id.
-NO_ID = -(2**63)
-
-
-def _id(column):
-    return F.coalesce(column.cast("long"), F.lit(NO_ID).cast("long"))
-
-
-def _linked(docs: DataFrame, k: int, num: int, den: int, rounds: int) -> DataFrame:
-    """(row_id, d, h, n, root) for each row of docs: identity, set size and component (null without shingles)."""
+def _linked(docs: DataFrame, k: int, num: int, den: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(d, k1, k2, ca, cb, n) of each row, and for each class with tokens the first row of its component (x: unnamed, d, k1, k2)."""
     spark = docs.sparkSession
     small_batches(spark)
-    base = docs.select(_id(F.col("doc_id")).alias("d"), row_mark(F.col("text")).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
-    numbered = base.withColumn("row_id", F.monotonically_increasing_id()).select("row_id", "d", "h", "text")
-    profiles = written(numbered.mapInArrow(partial(_profiles, k), "row_id long, d long, h long, class long, n long"), "profiles")
-    classes = profiles.where("n > 0").groupBy("class").agg(F.min(F.struct("d", "h")).alias("first")).select("class", "first.*")
-    levels = spark.sparkContext.broadcast(rarity(docs, k))
-    posted = base.select("text").mapInArrow(partial(_prefixes, k, num, den, levels), "token long, class long, n int, place int")
-    several = written(posted.groupBy("token").agg(F.min("class").alias("one"), F.max("class").alias("other")).where("one <> other").select("token"), "tokens")
-    postings = written(posted.join(several.hint("shuffle_merge"), "token").distinct(), "postings")
-    # the texts that can be compared at all, one for each class
-    wanted = postings.select("class").distinct().join(classes.hint("shuffle_merge"), "class")
-    squeezed = base.mapInArrow(_squeezed, "d long, h long, text binary")
-    texts = written(squeezed.join(wanted.hint("shuffle_merge"), ["d", "h"]).dropDuplicates(["class"]).select("class", "text"), "texts")
-
-    orders = written(texts.mapInArrow(partial(_orders, k, num, den, levels), "class long, n long, first array<long>, second array<long>"), "orders")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    base = docs.select(F.col("doc_id").alias("d"), *row_keys(docs), F.coalesce("text", F.lit("")).alias("text"))
+    numbered = base.withColumn("row_id", F.monotonically_increasing_id())
+    profiles = written(numbered.mapInArrow(partial(_profiles, k, num, den), f"row_id long, d {kind}, k1 long, k2 long, ca long, cb long, n long, first array<long>"), "profiles")
+    classes = profiles.where("n > 0").groupBy("ca", "cb").agg(F.min(F.struct(F.col("d").isNull().alias("unnamed"), "d", "k1", "k2")).alias("x"))
+
+    # first order: tokens that different sets have in their prefixes, and the sets that have enough of them
+    posted = profiles.select("row_id", F.explode("first").alias("token"))
+    meeting = profiles.select("ca", F.explode("first").alias("token")).groupBy("token").agg(F.min("ca").alias("one"), F.max("ca").alias("other")).where("one <> other").select("token")
+    meeting = written(meeting, "tokens")
+    enough = posted.join(meeting.hint("shuffle_merge"), "token").groupBy("row_id").agg(F.count("*").alias("met"))
+    least = f"(({num} * n + {den - 1}) div {den})"
+    left = profiles.select("row_id", "ca", "cb", "n").join(enough.hint("shuffle_merge"), "row_id").where(f"met > {least} div {SPARE}").select("ca", "cb").distinct()
+    wanted = written(left.join(classes.hint("shuffle_merge"), ["ca", "cb"]).select("ca", "cb", "x.k1", "x.k2"), "wanted")
+    squeezed = base.select("k1", "k2", "text").mapInArrow(_squeezed, "k1 long, k2 long, text binary")
+    texts = squeezed.join(wanted.hint("shuffle_merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("ca", "cb", "text")
+    made = texts.mapInArrow(partial(_sets, k, num, den), "ca long, cb long, n long, tokens array<long>, first array<long>, third array<long>")
+    sets = written(made.withColumn("class", F.monotonically_increasing_id()), "sets")
+
+    # second order: rare tokens first; tokens of one set only come before all others
+    tokens = sets.select("class", "n", F.explode("tokens").alias("token"))
+    counted = written(tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"), "counted")
+    own = Window.partitionBy("class")
+    ranked = tokens.join(counted.hint("shuffle_merge"), "token").select(
+        "class", "n", "token", (F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("sets", "token")) - 1).alias("place")
+    )
+    postings = written(ranked.where(f"place <= n - {least}").select("token", "class", "n", "place"), "postings")
 
     # the bound on the overlap from a shared token's places holds at the pair's first shared token
     possible = f"least(n, m) * {den} >= greatest(n, m) * {num} AND {den + num} * least(n - place, m - spot) >= {num} * (n + m)"
-    # tokens that prefixes must share: o + 1 - ceil(t n), n being the larger size and o the least overlap
-    shared = f"greatest(1, ({num} * (n + m) + {den + num - 1}) div {den + num} + 1 - ({num} * greatest(n, m) + {den - 1}) div {den})"
+    overlap = f"(({num} * (n + m) + {den + num - 1}) div {den + num})"
+    most, fewest = (f"(({num} * {f}(n, m) + {den - 1}) div {den})" for f in ("greatest", "least"))
+    in_first = f"least({overlap} - {most} + 1 + {most} div {SPARE}, {overlap} - {fewest} + 1 + {fewest} div {SPARE})"
+    in_third = f"({overlap} - {most} + 1)"
 
-    def sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
-        """pairs with columns of both classes, named column_a and column_b."""
+    def sides(pairs: DataFrame, *columns: str) -> DataFrame:
+        """pairs (a, b) with columns of both classes, named column_a and column_b."""
         for side in ("a", "b"):
-            pairs = pairs.join(table.select(F.col("class").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]).hint("shuffle_merge"), side)
+            pairs = pairs.join(sets.select(F.col("class").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
         return pairs
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ranked = sides(pairs, orders, "n", "first").withColumnsRenamed({"n_a": "n", "n_b": "m"}).where(f"size(array_intersect(first_a, first_b)) >= {shared}")
-        left = written(ranked.select("a", "b", "n", "m"), "candidates")
-        left = sides(left, orders, "second").where(f"size(array_intersect(second_a, second_b)) >= {shared}").select("a", "b")
-        left = written(left, "survivors")
-        ids = written(left.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "wanted")
-        few = ids.count() <= BROADCAST_ROWS  # else the texts are shuffled
-        fetched = written(texts.join(F.broadcast(ids) if few else ids.hint("shuffle_merge"), "class", "left_semi"), "fetched")
-        return sides(left, fetched, "text").select("a", "b", "text_a", "text_b").mapInArrow(partial(_verify, k, num, den), "a long, b long")
-
-    def sorted_pairs(df: DataFrame) -> DataFrame:
-        return df.select(F.least("class", "partner").alias("a"), F.greatest("class", "partner").alias("b")).distinct()
+        ranked = sides(pairs, "n", "first", "third").withColumnsRenamed({"n_a": "n", "n_b": "m"})
+        left = ranked.where(f"size(array_intersect(first_a, first_b)) >= {in_first} AND size(array_intersect(third_a, third_b)) >= {in_third}").select("a", "b", "n", "m")
+        common = sides(left, "tokens").select("a", "b", "n", "m", F.expr("size(array_intersect(tokens_a, tokens_b))").alias("common"))
+        return common.where(f"common > 0 AND {den} * common >= {num} * (n + m - common)").select("a", "b")
 
     links, roots = None, None
     for turn in range(rounds + 1):
@@ -263,52 +172,57 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, rounds: int) -> DataFra
             placed = postings.withColumn("root", F.col("class"))
         else:
             placed = postings.join(roots.hint("shuffle_merge"), F.col("class") == F.col("node"), "left").select("token", "class", "n", "place", F.coalesce("root", "class").alias("root"))
-            open_tokens = written(placed.groupBy("token").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("token"), "open")
-            placed = placed.join(open_tokens.hint("shuffle_merge"), "token")
         if turn < rounds:
-            # a member of each large group, another for each token and round
-            order = F.struct(F.xxhash64("class", "token", F.lit(turn)).alias("o"), "class", "n", "place", "root")
-            pivots = placed.groupBy("token").agg(F.min(order).alias("x"), F.count("*").alias("classes")).where(F.col("classes") >= LARGE)
-            pivots = written(pivots.select("token", F.col("x.class").alias("partner"), F.col("x.n").alias("m"), F.col("x.place").alias("spot"), F.col("x.root").alias("heart")), "pivots")
-            if not pivots.take(1):
-                continue
-            near = placed.join(pivots.hint("shuffle_merge"), "token").where(f"root <> heart AND {possible}")
-            # as many members as a document has prefix tokens are named; it meets some of them
-            named = near.groupBy("class").agg(F.collect_set("partner").alias("all")).select("class", F.expr(f"slice(array_sort(transform(all, p -> struct(xxhash64(p, class, {turn}) AS o, p AS p))), 1, {MEETINGS})").alias("some"))
-            met = named.select("class", F.explode("some.p").alias("partner"))
+            order = F.struct("place", -F.col("n"), "class", "n", "root") if not turn else F.struct(F.xxhash64("class", F.lit(turn)), "place", "class", "n", "root")
+            hubs = placed.groupBy("token").agg(F.min(order).alias("x"), F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other")
+            hubs = written(hubs.select("token", F.col("x.class").alias("partner"), F.col("x.n").alias("m"), F.col("x.place").alias("spot"), F.col("x.root").alias("heart")), "hubs")
+            met = placed.join(hubs.hint("shuffle_merge"), "token").where(f"root <> heart AND {possible}")
         else:
-            other = placed.select("token", F.col("class").alias("partner"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("root").alias("heart"))
-            met = placed.join(other.hint("shuffle_merge"), "token").where(f"root < heart AND {possible}")
-        found = written(verified(sorted_pairs(met)), "links")
-        fresh = found.limit(1).count()
-        links = found if links is None else links.unionByName(found)
-        if fresh:
+            # a token's largest component is not compared with itself, and its members only with the others
+            held = placed.groupBy("token", "root").agg(F.count("*").alias("rows")).groupBy("token").agg(F.max(F.struct("rows", "root")).alias("x"), F.count("*").alias("roots"))
+            held = written(held.where("roots > 1").select("token", F.col("x.root").alias("main")), "open")
+            open_ = written(placed.join(held.hint("shuffle_merge"), "token"), "placed")
+            other = open_.select("token", F.col("class").alias("partner"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("root").alias("heart"))
+            met = open_.where("root <> main").join(other.hint("shuffle_merge"), "token").where(f"root <> heart AND (heart = main OR root < heart) AND {possible}")
+        # a table of its own, so that its size decides how the sets are joined
+        pairs = written(met.select(F.least("class", "partner").alias("a"), F.greatest("class", "partner").alias("b")).distinct(), "pairs")
+        found = written(verified(pairs), "links")
+        if found.take(1):
+            links = found if links is None else links.unionByName(found)
             roots = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
-    labelled = profiles if roots is None else profiles.join(roots.hint("shuffle_merge"), F.col("class") == F.col("node"), "left")
-    labelled = labelled.select("row_id", "d", "h", "n", F.when(F.col("n") > 0, F.col("class") if roots is None else F.coalesce("root", "class")).alias("root"))
-    return labelled
+    if roots is None:
+        return profiles, written(classes, "labels")
+    members = written(sets.select("ca", "cb", "class").join(roots.hint("shuffle_merge"), F.col("class") == F.col("node")).select("ca", "cb", "root"), "members")
+    chief = members.join(classes.hint("shuffle_merge"), ["ca", "cb"]).groupBy("root").agg(F.min("x").alias("chief"))
+    linked = members.join(chief.hint("shuffle_merge"), "root").select("ca", "cb", "chief")
+    # a table of its own, so that the join with the rows can split a class that many rows share
+    return profiles, written(classes.join(linked.hint("shuffle_merge"), ["ca", "cb"], "left").select("ca", "cb", F.coalesce("chief", "x").alias("x")), "labels")
 
 
 def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, row_id, n_shingles, component_id for each row of docs (doc_id, text): A-Z lower-cased, `k`-word shingles.
 
     Rows link when den * intersection >= num * union. component_id is the least doc_id that links
-    reach. Null and empty texts have no shingles and link with nothing; equal texts of other
-    rows link. A null doc_id takes part, and is the component's id only if no other is there.
-    Sets are told apart by 64-bit hashes. row_id is a number for each input row, 0 upwards
-    within a task, and only fixed for one call. An empty table gives an empty table.
+    reach; ties between equal ids do not matter. Null and empty texts have no shingles and link
+    with nothing; equal texts of other rows link. A null doc_id takes part, and is the component's
+    id only if no other is there; ids of any type that has an order will do. Long texts are held
+    one at a time. Sets are told apart by 128 bits of hash, shingles by 64. row_id is a number for
+    each input row, 0 upwards within a task, and only fixed for one call. An empty table gives an
+    empty table; other columns are not read.
     """
-    labelled = _linked(docs, k, num, den, rounds)
-    real = F.when(F.col("d") != NO_ID, F.col("d"))
-    least = labelled.where("n > 0").groupBy("root").agg(F.min(real).alias("component_id")).withColumnRenamed("root", "of")
-    out = labelled.join(least.hint("shuffle_merge"), F.col("root") == F.col("of"), "left")
-    return out.select(real.alias("doc_id"), "row_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(real).alias("component_id"))
+    rows, labels = _linked(docs, k, num, den, rounds)
+    found = labels.select("ca", "cb", F.col("x.d").alias("least"))
+    out = rows.select("row_id", "d", "ca", "cb", "n").join(found.hint("shuffle_merge"), ["ca", "cb"], "left")
+    return out.select(F.col("d").alias("doc_id"), "row_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("d")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rounds: int = ROUNDS) -> DataFrame:
-    """docs with one row of each component: that of the least doc_id. Texts without words all stay, once for each doc_id."""
-    labelled = _linked(docs, k, num, den, rounds)
-    chosen = labelled.where("n > 0").groupBy("root").agg(F.min(F.struct((F.col("d") == NO_ID).alias("unnamed"), "d", "h")).alias("x")).select("x.d", "x.h").unionByName(labelled.where("n = 0").select("d", "h").distinct())
-    named = docs.select(_id(F.col("doc_id")).alias("quillon_d"), row_mark(F.col("text")).alias("quillon_h"), *[docs[c] for c in docs.columns])
-    kept = named.join(chosen.toDF("quillon_d", "quillon_h").hint("shuffle_merge"), ["quillon_d", "quillon_h"]).dropDuplicates(["quillon_d", "quillon_h"])
-    return kept.select(*docs.columns)
+    """docs with one row of each component: that of the least doc_id, a null one last. Texts without words all stay, once for each doc_id.
+
+    Of repeated rows, equal in doc_id and text, one stays, whatever other columns they have.
+    """
+    rows, labels = _linked(docs, k, num, den, rounds)
+    chosen = labels.select("x.k1", "x.k2").distinct().unionByName(rows.where("n = 0").select("k1", "k2").distinct())
+    named = docs.select(*[c.alias(f"quillon_{i}") for i, c in enumerate(row_keys(docs))], *[docs[c] for c in docs.columns])
+    names = ["quillon_0", "quillon_1"]
+    return named.join(chosen.toDF(*names).hint("shuffle_merge"), names).dropDuplicates(names).select(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .quality_rules import labelled, rule_counts
 from .sequences import pieces, text_buffers
-from .shared import small_batches
+from .shared import carried, restored, small_batches
 
 #: Labelled rows fitted at most; hashed terms; bins of a statistic; latent dimensions; neighbours.
 SAMPLE, TERMS, BINS, DIMENSIONS, NEIGHBOURS = 5000, 1024, 8, 40, 25
@@ -124,7 +124,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, carry: list[str] | No
     carry = carry or ["doc_id"]
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
-    own = docs.select(*[F.col(c).alias(f"own_{c}") for c in carry], held_out.alias("held_out"), "text")
-    schema = ", ".join([f"own_{c} {t}" for c, t in docs.select(*carry).dtypes] + ["held_out boolean, score double, predicted int"])
-    out = own.mapInArrow(partial(_scored, model), schema)
-    return out.select(*[F.col(f"own_{c}").alias(c) for c in carry], "held_out", "score", "predicted")
+    columns, schema = carried(docs, carry)
+    own = docs.select(*columns, held_out.alias("held_out"), "text")
+    out = own.mapInArrow(partial(_scored, model), f"{schema}, held_out boolean, score double, predicted int")
+    return out.select(*restored(carry), "held_out", "score", "predicted")

@@ -5,8 +5,9 @@ without comparing documents in pairs and without a corpus-sized structure in one
 
 1. Each document's windows are cut into runs that share a minimiser, the anchor
    (`sequences.anchored_spans`). Equal windows have equal anchors at equal offsets, so an
-   anchor that occurs once proves all its windows unique. One record per run is shuffled,
-   about one per 11 words or 63 bytes, never the windows.
+   anchor that occurs once proves all its windows unique. The runs are written once, a row
+   for each input row, whose number stands for it from here on. One record per run is
+   shuffled, about one per 11 words or 63 bytes, never the windows.
 2. Records of repeated anchors are written to the shared folder and grouped by content
    (anchor hash and span hash, 128 bits): a class of equal runs is examined once, with its
    multiplicity, whatever the number of copies.
@@ -29,15 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sequences import BASE_A, BASE_B, BYTE_CODES, PrefixHash, anchored_spans, mix, pieces, text_buffers, word_bounds, word_hashes
-from .shared import row_mark, small_batches, written
+from .sequences import BYTE_CODES, SALT_A, SALT_B, WindowHash, anchored_spans, mix, pieces, text_buffers, word_bounds, word_hashes
+from .shared import carried, restored, row_keys, small_batches, written
 
 #: Different contents of one anchor beyond which its windows are counted singly.
 HOT = 4000
 #: Symbols of one reference shard.
 SHARD = {"words": 30_000, "bytes": 400_000}
 _PIECE = {"words": 512 << 10, "bytes": 256 << 10}
-_RECORD = "anchor long, span long, d long, h long, start int, lead short, n short"
+#: What is known of a run: hashes of its anchor and its content, first window, the anchor's place from there, windows.
+_RUN = {"anchor": pa.int64(), "span": pa.int64(), "start": pa.int32(), "lead": pa.int16(), "n": pa.int16()}
 
 
 class Symbols:
@@ -61,19 +63,21 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _records(unit: str, window: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of each row that has any, as lists."""
     for batch in batches:
         raw, offsets = text_buffers(batch["text"])
-        ids, marks = batch["d"].to_numpy(zero_copy_only=False), batch["h"].to_numpy(zero_copy_only=False)
         for a, b in pieces(offsets, _PIECE[unit]):
             s = Symbols(unit, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            doc, start, n, anchor, key = anchored_spans(s.codes, s.first, window, gram)
+            doc, start, n, anchor, key, hashes = anchored_spans(s.codes, s.first, window, gram)
             lead = anchor - start
-            content = PrefixHash(mix(s.codes), BASE_B).slices(start, start + n + window - 1)
-            span = mix(content + lead.astype(np.uint64) * np.uint64(BASE_A) + n.astype(np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(key)), pa.array(_signed(span)), pa.array(ids[a + doc]), pa.array(marks[a + doc]), pa.array((start - s.first[doc]).astype(np.int32)), pa.array(lead.astype(np.int16)), pa.array(n.astype(np.int16))],
-                ["anchor", "span", "d", "h", "start", "lead", "n"],
-            )
+            content = hashes.slices(start, start + n + window - 1)
+            span = mix(content + lead.astype(np.uint64) * np.uint64(SALT_A))
+            runs = np.bincount(doc, minlength=b - a)
+            ends = pa.array(np.concatenate([[0], np.cumsum(runs)]).astype(np.int32))
+            values = [_signed(key), _signed(span), start - s.first[doc], lead, n]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v.astype(t.to_pandas_dtype(), copy=False))) for v, t in zip(values, _RUN.values())]
+            made = pa.RecordBatch.from_arrays([*[batch[c].slice(a, b - a) for c in ("row_id", "k1", "k2")], *lists], ["row_id", "k1", "k2", *_RUN])
+            yield made.filter(pa.array(runs > 0))
 
 
 def _contents(unit: str, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +131,7 @@ def _windows(unit: str, window: int, batches: Iterator[pa.RecordBatch]) -> Itera
         row = np.repeat(np.arange(len(n)), n)
         lo = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         at = s.first[row] + lo
-        one, two = (PrefixHash(x, base).slices(at, at + window) for x, base in ((s.codes, BASE_A), (mix(s.codes), BASE_B)))
+        one, two = (WindowHash(x).windows(window)[at] for x in (s.codes, mix(s.codes ^ np.uint64(SALT_B))))
         yield pa.RecordBatch.from_arrays(
             [pa.array(_signed(one)), pa.array(_signed(two)), batch["anchor"].take(pa.array(row)), batch["span"].take(pa.array(row)), pa.array(lo.astype(np.int32)), pa.array(copies[row])],
             ["one", "two", "anchor", "span", "lo", "copies"],
@@ -169,28 +173,33 @@ def _runs(batches: Iterator[pa.RecordBatch], unit: str, window: int, finish: Cal
 def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, decide: Callable, finish: Callable, schema: str, carry: list[str], hot: int = HOT) -> DataFrame:
     """docs (doc_id, text and the columns of `carry`): one row per input row, `carry` plus finish's columns.
 
-    Rows are told apart by doc_id and 64 bits of hash of the text, null-safe; rows with both equal are
-    equal texts and get equal results. decide(rows, window) gets (anchor, copies, lead, n,
-    content) of whole anchors and gives each row's inclusive ranges of repeated window offsets.
+    Input rows are counted each; texts are found again by 128 bits of doc_id and text, so rows that
+    share these get equal results. decide(rows, window) gets (anchor, copies, lead, n, content) of
+    whole anchors and gives each row's inclusive ranges of repeated window offsets.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    one = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), row_mark(F.col("text")).alias("h"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"own_{c}") for c in carry]
-    )
-    scan = one.select("d", "h", "text").mapInArrow(partial(_records, unit, window, gram), _RECORD)
+    own, own_schema = carried(docs, carry)
+    one = docs.select(*row_keys(docs), F.coalesce(docs["text"], F.lit("")).alias("text"), *own)
+    numbered = one.select(F.monotonically_increasing_id().alias("row_id"), "k1", "k2", "text")
+    kinds = ", ".join(f"{c} array<{t}>" for c, t in zip(_RUN, ("long", "long", "int", "short", "short")))
+    runs = written(numbered.mapInArrow(partial(_records, unit, window, gram), f"row_id long, k1 long, k2 long, {kinds}"), "runs")
     # a table of its own, so that the join below shuffles both sides itself and can split a hot anchor
-    repeated = written(scan.groupBy("anchor").agg(F.count("*").alias("rows")).where("rows > 1").select("anchor"), "repeated")
-    shared = written(scan.join(repeated.hint("shuffle_merge"), "anchor"), "shared")
+    repeated = written(runs.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("rows")).where("rows > 1").select("anchor"), "repeated")
+    records = runs.select("row_id", F.explode(F.arrays_zip(*_RUN)).alias("x")).select("row_id", "x.*")
+    shared = written(records.join(repeated.hint("shuffle_merge"), "anchor"), "shared")
     classes = written(
-        shared.groupBy("anchor", "span").agg(F.count("*").alias("copies"), F.min(F.struct("d", "h", "start", "lead", "n")).alias("first")).select("anchor", "span", "copies", "first.*"),
+        shared.groupBy("anchor", "span").agg(F.count("*").alias("copies"), F.min(F.struct("row_id", "start", "lead", "n")).alias("first")).select("anchor", "span", "copies", "first.*"),
         "classes",
     )
     variety = classes.groupBy("anchor").agg(F.count("*").alias("contents"))
-    wanted = classes.groupBy("d", "h").agg(F.collect_list(F.struct("anchor", "span", "copies", "start", "lead", "n")).alias("wanted"))
-    text = one.select("d", "h", "text").join(wanted.hint("shuffle_merge"), ["d", "h"])
+    # one row stands for all of equal doc_id and text: the first, which is also the one that its classes name
+    named = runs.groupBy("k1", "k2").agg(F.min("row_id").alias("row_id"))
+    wanted = classes.groupBy("row_id").agg(F.collect_list(F.struct("anchor", "span", "copies", "start", "lead", "n")).alias("wanted"))
+    wanted = wanted.join(named.hint("shuffle_merge"), "row_id").select("k1", "k2", "wanted")
+    text = one.select("k1", "k2", "text").join(wanted.hint("shuffle_merge"), ["k1", "k2"])
     # a repeated (doc_id, text) row would yield its contents twice
-    content = written(text.dropDuplicates(["d", "h"]).select("text", "wanted").mapInArrow(partial(_contents, unit, window), "anchor long, span long, copies long, lead short, n short, content binary"), "contents")
+    content = written(text.dropDuplicates(["k1", "k2"]).select("text", "wanted").mapInArrow(partial(_contents, unit, window), "anchor long, span long, copies long, lead short, n short, content binary"), "contents")
     hot_anchor = variety.where(F.col("contents") > hot).select("anchor")
     cold = content.join(hot_anchor, "anchor", "left_anti")
     decided = cold.repartition("anchor").sortWithinPartitions("anchor", "span").mapInArrow(partial(_shards, unit, decide, window), "anchor long, span long, lo int, hi int")
@@ -198,8 +207,9 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, decide:
     twice = single.groupBy("one", "two").agg(F.sum("copies").alias("rows")).where("rows > 1").select("one", "two")
     counted = single.join(twice.hint("shuffle_merge"), ["one", "two"]).select("anchor", "span", "lo", F.col("lo").alias("hi"))
     verdicts = written(decided.unionByName(counted), "verdicts")
-    marks = shared.join(verdicts.hint("shuffle_merge"), ["anchor", "span"]).select("d", "h", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")).groupBy("d", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
-    joined = one.join(marks.hint("shuffle_merge"), ["d", "h"], "left").select(*[f"own_{c}" for c in carry], "text", "marks")
-    out_schema = ", ".join([f"own_{c} {t}" for c, t in docs.select(*carry).dtypes] + [schema])
-    out = joined.mapInArrow(partial(_runs, unit=unit, window=window, finish=finish), out_schema)
-    return out.select(*[F.col(f"own_{c}").alias(c) for c in carry], *[c for c, _ in finish.columns])
+    marks = shared.join(verdicts.hint("shuffle_merge"), ["anchor", "span"]).select("row_id", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")).groupBy("row_id").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
+    marks = marks.join(named.hint("shuffle_merge"), "row_id").select("k1", "k2", "marks")
+    names = [f"own_{i}" for i in range(len(carry))]
+    joined = one.join(marks.hint("shuffle_merge"), ["k1", "k2"], "left").select(*names, "text", "marks")
+    out = joined.mapInArrow(partial(_runs, unit=unit, window=window, finish=finish), f"{own_schema}, {schema}")
+    return out.select(*restored(carry), *[c for c, _ in finish.columns])

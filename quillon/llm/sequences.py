@@ -14,9 +14,9 @@ import pyarrow as pa
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-#: Odd bases of the prefix hashes modulo 2**64 (odd, so that they can be divided by).
-BASE_A, BASE_B = 0x9E3779B97F4A7C55, 0xD1342543DE82EF95
 _U = np.uint64
+#: Salts that keep hashes of different purposes apart.
+SALT_A, SALT_B = 0x9E3779B97F4A7C55, 0xD1342543DE82EF95
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,33 +33,78 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_CODES = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, _U)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out) if n else out
+class _Weights:
+    """Pseudo-random 64-bit weights of the places in a segment; grows as asked."""
 
+    def __init__(self):
+        self.values = np.zeros(0, _U)
 
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
+    def upto(self, n: int) -> np.ndarray:
+        if len(self.values) < n:
+            self.values = mix((np.arange(max(n, 4096, 2 * len(self.values)), dtype=_U) + _U(1)) * _U(SALT_B))
+        return self.values
 
 
-class PrefixHash:
-    """Polynomial prefix hashes of a symbol array: any slice's hash by one subtraction."""
+_WEIGHTS = _Weights()
 
-    def __init__(self, symbols: np.ndarray, base: int):
-        n = len(symbols)
-        self.total = np.zeros(n + 1, _U)
-        np.cumsum(symbols * powers(base, n), out=self.total[1:])
-        self.undo = powers(inverse(base), n + 1)
 
-    def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.total[end] - self.total[start]) * self.undo[start]
+def segment_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A mixed 64-bit hash of each of the disjoint ascending segments starts..ends-1 of codes.
+
+    The sum of code times a weight of the place in the segment. The weights are no powers of a
+    base, so there are no strings, like Thue and Morse's, whose difference a base cannot see.
+    """
+    if not len(starts):
+        return np.zeros(0, _U)
+    step = np.zeros(len(codes) + 1, np.int64)
+    full = ends > starts
+    step[starts[full]] = np.diff(starts[full], prepend=0)
+    place = np.arange(len(codes)) - np.cumsum(step[:-1])
+    total = np.zeros(len(codes) + 1, _U)
+    np.cumsum(codes * _WEIGHTS.upto(int(place.max(initial=0)) + 1)[place], out=total[1:])
+    return mix(total[ends] - total[starts] + (ends - starts).astype(_U) * _U(SALT_A))
+
+
+def _paired(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A mixed hash of pairs of hashes, in order."""
+    x = left * _U(SALT_A)
+    x += right
+    x ^= x >> _U(32)
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(29)
+    return x
+
+
+class WindowHash:
+    """Hashes of slices: two halves are paired and mixed, level by level; no algebra that structured texts could cancel in."""
+
+    def __init__(self, symbols: np.ndarray):
+        self.levels = [symbols]
+
+    def _level(self, j: int) -> np.ndarray:
+        while len(self.levels) <= j:
+            half, x = 1 << (len(self.levels) - 1), self.levels[-1]
+            self.levels.append(_paired(x[:-half], x[half:]) if len(x) > half else np.zeros(0, _U))
+        return self.levels[j]
 
     def windows(self, k: int) -> np.ndarray:
         """Hashes of all slices of k symbols."""
-        m = len(self.total) - k
-        return (self.total[k:] - self.total[:m]) * self.undo[:m] if m > 0 else np.zeros(0, _U)
+        if len(self.levels[0]) < k:
+            return np.zeros(0, _U)
+        j = k.bit_length() - 1
+        x, rest = self._level(j), k - (1 << j)
+        return _paired(x[: len(x) - rest], x[rest:]) if rest else x
+
+    def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the slices start..end-1, lengths included; a level's slices share a length's highest bit."""
+        n = end - start
+        out = np.zeros(len(n), _U)
+        high = np.frexp(n.astype(np.float64))[1] - 1
+        for j in np.unique(high[n > 0]).tolist():
+            at = np.flatnonzero((high == j) & (n > 0))
+            x = self._level(j)
+            out[at] = _paired(x[start[at]], x[end[at] - (1 << j)])
+        return mix(out + n.astype(_U) * _U(SALT_B))
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,9 +152,9 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE_A) -> np.ndarray:
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A mixed 64-bit hash of each word's bytes."""
-    return mix(PrefixHash(BYTE_CODES[raw], base).slices(starts, ends) + (ends - starts).astype(_U))
+    return segment_hashes(BYTE_CODES[raw], starts, ends)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -122,23 +167,36 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def anchored_spans(symbols: np.ndarray, first: np.ndarray, window: int, k: int, base: int = BASE_A):
+#: Bits of a place beside which a k-gram's hash is compared, the same for every piece; longer texts are cut in blocks.
+_PLACE_BITS = 24
+
+
+def _anchors(grams: np.ndarray, w: int, block: int) -> np.ndarray:
+    """The leftmost least of each w consecutive grams, by the hash's upper 40 bits."""
+    out, low = [], _U(_PLACE_BITS)
+    for a in range(0, len(grams) - w + 1, block):
+        part = grams[a : a + block + w - 1]
+        least = sliding_min((part >> low << low) | np.arange(len(part), dtype=_U), w)
+        out.append((least & ((_U(1) << low) - _U(1))).astype(np.int64) + a)
+    return np.concatenate(out)
+
+
+def anchored_spans(symbols: np.ndarray, first: np.ndarray, window: int, k: int, block: int = 1 << 23):
     """Cuts every document's windows into runs that share a minimiser.
 
     symbols: the hashed symbols of all documents, document d's at first[d]:first[d+1].
-    Each window of `window` symbols is represented by the least hash among its k-grams
-    (leftmost if tied), so equal windows have equal representatives at equal offsets.
+    Each window of `window` symbols is represented by the least hash among its k-grams (upper
+    40 bits, leftmost if tied), so equal windows have equal representatives at equal offsets.
     Returns, per run of consecutive windows with one representative: document, position
-    of the first window, number of windows, position of the anchor, and the anchor's hash.
+    of the first window, number of windows, position of the anchor, the anchor's hash; and
+    the hashes of all symbols' windows, for the contents.
     """
     n, w = len(symbols), window - k + 1
+    hashes = WindowHash(symbols)
     if n < window:
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, _U),)
-    grams = mix(PrefixHash(symbols, base).windows(k))
-    bits = _U(max(1, int(len(grams)).bit_length()))
-    place = np.arange(len(grams), dtype=_U)
-    # the hash's high bits, then the position: the least of a window is its leftmost least k-gram
-    anchor = (sliding_min((grams >> bits << bits) | place, w) & ((_U(1) << bits) - _U(1))).astype(np.int64)
+        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, _U), hashes)
+    grams = mix(hashes.windows(k))
+    anchor = _anchors(grams, w, block)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     head = np.empty(len(anchor), bool)
     head[0] = True
@@ -149,4 +207,4 @@ def anchored_spans(symbols: np.ndarray, first: np.ndarray, window: int, k: int,
     count = np.diff(np.append(at, len(anchor)))
     real = valid[at]
     at, count = at[real], count[real]
-    return doc[at], at, count, anchor[at], grams[anchor[at]]
+    return doc[at], at, count, anchor[at], grams[anchor[at]], hashes

@@ -29,13 +29,6 @@ WINDOW = 200
 #: Bytes of the k-gram that represents a window.
 GRAM = 40
 _P, _B = (1 << 61) - 1, 0x1F3D5B79A2C4E687
-_POWERS = [1]
-
-
-def _power(n: int) -> list[int]:
-    while len(_POWERS) <= n:
-        _POWERS.append(_POWERS[-1] * _B % _P)
-    return _POWERS
 
 
 class HashedString:
@@ -119,7 +112,6 @@ def partners(left: list[HashedString], right: list[HashedString]):
 
 def decide(rows: list[tuple], window: int) -> list[list[tuple[int, int]]]:
     out: list[list[tuple[int, int]]] = []
-    _power(1)
     for _, group in groupby(rows, key=lambda r: r[0]):
         group = list(group)
         flags = [bytearray(b"\1" * r[3]) if r[1] > 1 else bytearray(r[3]) for r in group]

@@ -4,12 +4,14 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillon.llm.components import components
 from quillon.llm.jaccard_join import jaccard_join, representatives
+from quillon.llm.sequences import WindowHash, anchored_spans, mix
 from quillon.llm.substring_dedup import SuffixAutomaton, substring_dedup
 from quillon.llm.suffix_dedup import HashedString, common_prefix, partners, sort_suffixes, suffix_dedup
 
@@ -58,13 +60,11 @@ def test_bytes_match_brute_force(documents, texts, hot):
 
 def test_hostile_rows(hostile, nothing):
     rows = hostile.select("doc_id", "text").collect()
-    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_words if "n_words" in r else r.n_bytes)
     words = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(hostile).collect())
     assert words == sorted((r.doc_id is None, r.doc_id or 0, *b) for r, b in zip(rows, brute_words([r.text for r in rows], 35)))
     out = sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(hostile).collect())
     assert out == sorted((r.doc_id is None, r.doc_id or 0, *b) for r, b in zip(rows, brute_bytes([r.text for r in rows], 200)))
     assert substring_dedup(nothing).count() == 0 and suffix_dedup(nothing).count() == 0
-    assert key
 
 
 def test_text_without_cut_characters(spark):
@@ -187,8 +187,74 @@ def test_rows_without_id_whose_texts_collide_in_32_bits(spark):
     assert len(kept) == 3 and set(texts[2:]) < kept
 
 
+def test_rows_of_one_id_or_none_and_ids_of_text(spark):
+    near = " ".join(f"n{i}" for i in range(60))
+    texts = [f"{near} x", f"{near} y", "alone a b c d e", "alone f g h i j"]
+    none = spark.createDataFrame([(None, t) for t in texts] * 2, "doc_id bigint, text string")
+    assert sorted(r.n_words for r in substring_dedup(none).collect()) == sorted(2 * [len(t.split()) for t in texts])
+    assert len(representatives(none).collect()) == 3 and jaccard_join(none).count() == 8
+    named = spark.createDataFrame([(f"id-{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join(named).collect()} == {"id-0": "id-0", "id-1": "id-0", "id-2": "id-2", "id-3": "id-3"}
+    assert {r.doc_id: r.n_removed for r in substring_dedup(named).collect()} == {"id-0": 60, "id-1": 60, "id-2": 0, "id-3": 0}
+    assert {r.doc_id for r in suffix_dedup(named).collect()} == {f"id-{i}" for i in range(4)}
+
+
+def thue_morse(n):
+    """A string and its complement, whose polynomial hashes modulo 2**64 are equal whatever the base."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_structured_texts_do_not_collide(spark):
+    one, two = thue_morse(2048)
+    start = " ".join(f"s{i}" for i in range(34))
+    texts = {1: f"{start} {one}", 2: f"{start} {two}", 3: one, 4: two, 5: f"{one} {start}"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(docs).collect()} == dict(zip(texts, brute_words(texts.values(), 35)))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(docs).collect()} == dict(zip(texts, brute_bytes(texts.values(), 200)))
+    short = {1: f"a b c {one}", 2: f"a b c {two}", 3: one, 4: two}
+    docs = spark.createDataFrame(list(short.items()), "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join(docs).collect()} == {d: d for d in short}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=60), st.integers(1, 40))
+def test_equal_windows_have_equal_hashes_and_others_not(symbols, k):
+    codes = mix(np.array(symbols, np.uint64))
+    hashes = WindowHash(codes)
+    windows = [tuple(symbols[i : i + k]) for i in range(len(symbols) - k + 1)]
+    by = {}
+    for window, value in zip(windows, hashes.windows(k).tolist(), strict=True):
+        assert by.setdefault(window, value) == value
+    assert len(set(by.values())) == len(by)
+    bounds = [(i, j) for i in range(len(symbols) + 1) for j in range(i, len(symbols) + 1)]
+    slices = hashes.slices(*(np.array(x, np.int64) for x in zip(*bounds)))
+    by = {}
+    for (i, j), value in zip(bounds, slices.tolist()):
+        assert by.setdefault(tuple(symbols[i:j]), value) == value
+    assert len(set(by.values())) == len(by)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 1), max_size=40), min_size=1, max_size=4), st.integers(1, 5))
+def test_anchors_do_not_depend_on_blocks(documents, block):
+    codes = mix(np.array([s for d in documents for s in d], np.uint64))
+    first = np.concatenate([[0], np.cumsum([len(d) for d in documents])]).astype(np.int64)
+    whole, cut = anchored_spans(codes, first, 9, 3), anchored_spans(codes, first, 9, 3, block)
+    offset = {}
+    for spans in (whole, cut):
+        seen = set()
+        for doc, start, n, anchor in zip(*[x.tolist() for x in spans[:4]]):
+            for at in range(start, start + n):
+                window = tuple(documents[doc][at - first[doc] : at - first[doc] + 9])
+                assert offset.setdefault(window, anchor - at) == anchor - at
+                seen.add(at)
+        assert len(seen) == sum(max(0, len(d) - 8) for d in documents)
+
+
 def test_components_never_come_unfinished(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u bigint, v bigint")
     with pytest.raises(RecursionError):
         components(edges, most_rounds=2)
-    assert {r.node: r.root for r in components(edges).collect()} == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+    for few in (0, 100):
+        assert {r.node: r.root for r in components(edges, few=few).collect()} == {i: 0 for i in range(61)} | {100: 100, 101: 100}

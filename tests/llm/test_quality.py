@@ -6,9 +6,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quillon.llm import quality_rules
-from quillon.llm.quality_classifier import quality_classifier
+from quillon.llm.quality_classifier import NEIGHBOURS, SHARPNESS, _features, fit, quality_classifier
 from quillon.llm.quality_rules import IsolationForest
 
 
@@ -55,6 +56,55 @@ def test_forest_isolates_what_it_never_saw():
     assert forest.score(np.array([[0.9, 0.9, -0.9]]))[0] > forest.score(rows).max()
 
 
+def plain_path(forest, tree, row):
+    """Steps down one tree, and the expected rest of the path where it ends early."""
+    node = 1
+    for _ in range(forest.depth):
+        node = 2 * node + (row[forest.feature[tree, node]] > forest.split[tree, node])
+    return forest.path[tree, node]
+
+
+def test_verdicts_match_plain_path_lengths(documents, labels, texts):
+    forest, limit = quality_rules.fit(documents, labels)
+    rows = quality_rules.quality_rules(documents, labels).collect()
+    ids = sorted(texts)
+    _, stats = quality_rules._counted(pa.record_batch({"text": pa.array([texts[d] for d in ids], pa.string())}))
+    n = min(quality_rules.SUBSAMPLE, len(labels.where("quality = 1").collect()))
+    assert forest.depth <= np.ceil(np.log2(n)) + 1e-9
+    got = {r.doc_id: (r.kept, r.anomaly) for r in rows}
+    for d, row in zip(ids, stats):
+        anomaly = 2.0 ** (-np.mean([plain_path(forest, t, row) for t in range(len(forest.path))]) / forest.expected)
+        c = brute(texts[d])
+        failed = c[0] < 20 or 100 * c[4] > 30 * c[0]
+        assert got[d][1] == pytest.approx(anomaly, rel=1e-12) and got[d][0] == (not failed and got[d][1] <= limit)
+
+
+def test_lines_of_structured_text_are_told_apart():
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    texts = [f"{one}\n{two}", f"{one}\n{one}"]
+    counts, _ = quality_rules._counted(pa.record_batch({"text": pa.array(texts)}))
+    assert [tuple(c) for c in counts.tolist()] == [brute(t) for t in texts] and counts[0][3] == 0
+
+
+def test_votes_match_a_plain_neighbour_search(documents, labels, texts):
+    model = fit(documents, labels)
+    got = {r.doc_id: r.score for r in quality_classifier(documents, labels).collect()}
+    ids = sorted(texts)[:60]
+    batch = pa.record_batch({"text": pa.array([texts[d] for d in ids], pa.string())})
+    (terms, stats, words), *more = list(_features(batch))
+    assert not more
+    vectors = model.vectors.astype(float)
+    for d, t, s, w in zip(ids, terms, stats, words):
+        x = model.weighted(t[None], s[None])[0] @ model.axes
+        x = x / np.sqrt((x * x).sum())
+        cosines = [float(sum(a * b for a, b in zip(x, v))) for v in vectors]
+        near = sorted(range(len(cosines)), key=lambda i: -cosines[i])[:NEIGHBOURS]
+        weight = [max(cosines[i], 1e-6) ** SHARPNESS for i in near]
+        vote = sum(a * model.labels[i] for a, i in zip(weight, near)) / sum(weight)
+        assert got[d] == pytest.approx(vote if w else 0.0, abs=1e-3)
+
+
 def test_hostile_rows(hostile, nothing, labels, spark):
     rows = quality_rules.quality_rules(hostile, labels).collect()
     assert len(rows) == 13 and all(r.base_failed for r in rows if r.n_words == 0)
