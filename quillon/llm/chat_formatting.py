@@ -2,8 +2,8 @@
 
 The states are a role's first or later line. A line shows a speaker marker or none, a blank line
 before it or none, its place, and its length; these are independent given the state. The model
-is counted on transcripts whose roles are known, over all of them, and smoothed. Viterbi's best
-path cuts a transcript into turns, which are rendered in one canonical form. A turn keeps its
+is counted on transcripts whose roles are known, over all but those of the transcript's own fold,
+and smoothed. Viterbi's best path cuts a transcript into turns, which are rendered in one canonical form. A turn keeps its
 lines as they stand, blank ones between them too; only a marker at its start is taken off.
 
 A long conversation is held in parts, but its path is one: each part yields the best scores from
@@ -28,8 +28,8 @@ from .shared import small_batches, written
 
 ROLES = ("system", "user", "assistant")
 STATES = [(r, later) for r in ROLES for later in (False, True)]
-#: Turns of a row at most: a longer conversation is held in several.
-PART = 64
+#: Turns of a row at most: a longer conversation is held in several. Folds: a conversation is parsed by the model of the others.
+PART, FOLDS = 64, 4
 #: Names that speakers go by in transcripts.
 NAMES = {"system": "system instruction instructions context", "user": "user human q question customer me prompter", "assistant": "assistant ai bot a answer gpt model"}
 SPEAKER = {name: role for role, names in NAMES.items() for name in names.split()}
@@ -197,15 +197,15 @@ def _with(parts: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
-    """(conv_id, part, turns, several, before): the turns of each conversation, PART to a row; equal rows count once.
+    """(conv_id, part, turns, fold, several, before): the turns of each conversation, PART to a row; equal rows count once.
 
-    several: the conversation has more parts; before: the state of the line before the part, null for none.
+    fold: a hash of the conversation, below FOLDS; several: the conversation has more parts; before: the state of the line before the part, null for none.
     """
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(0))
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "text").distinct()
     rows = rows.withColumn("part", F.floor(turn / PART))
     kinds = F.struct("turn", "role", "text", F.pmod(F.xxhash64("conv_id", F.lit("style")), F.lit(4)).cast("int").alias("style"), (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5)) != 0).alias("marked"))
-    parts = written(rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(kinds)).alias("turns")), "transcripts")
+    parts = written(rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(kinds)).alias("turns")).withColumn("fold", F.pmod(F.xxhash64("conv_id", F.lit("fold")), F.lit(FOLDS)).cast("int")), "transcripts")
     long = written(parts.groupBy("conv_id").agg(F.count("*").alias("parts")).where("parts > 1").select("conv_id", F.lit(True).alias("several")), "long")
     if not long.take(1):
         return parts.withColumns({"several": F.lit(False), "before": F.lit(None).cast("int")})
@@ -217,9 +217,10 @@ def transcripts(conversations: DataFrame) -> DataFrame:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    folds = [Counter() for _ in range(FOLDS)]
     for batch in batches:
-        for turns, entry in zip(batch["turns"].to_pylist(), batch["before"].to_pylist()):
+        for turns, entry, fold in zip(*[batch[c].to_pylist() for c in ("turns", "before", "fold")]):
+            counts = folds[fold]
             before = None if entry is None else str(entry)
             # lines belong to the turn that wrote them: a turn's lines are read where they stand
             text, known = _write(turns)
@@ -233,9 +234,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for f, v in features:
                     counts[f, state, str(v)] += 1
                 before = state
-    rows = [(*k, n) for k, n in counts.items() if n]
-    columns = list(zip(*rows)) if rows else [(), (), (), ()]
-    yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns[:3]], pa.array(columns[3], pa.int64())], ["kind", "given", "value", "n"])
+    rows = [(*k, n, fold) for fold, counts in enumerate(folds) for k, n in counts.items() if n]
+    columns = list(zip(*rows)) if rows else [(), (), (), (), ()]
+    yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns[:3]], pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int32())], ["kind", "given", "value", "n", "fold"])
 
 
 def _bodies(turns: list[dict]) -> Iterator[tuple[str, int]]:
@@ -246,20 +247,31 @@ def _bodies(turns: list[dict]) -> Iterator[tuple[str, int]]:
             yield known[0][0], len(read_transcript(text))
 
 
-def fit(parts: DataFrame) -> Model:
-    """Counts over all transcripts with known roles: a few hundred sums reach the driver."""
-    rows = parts.select("turns", "before").mapInArrow(_counted, "kind string, given string, value string, n long").groupBy("kind", "given", "value").agg(F.sum("n").alias("n")).collect()
-    return Model({(r["kind"], r["given"], r["value"]): r["n"] for r in rows})
+def fit(parts: DataFrame) -> list[Model]:
+    """For each fold of the conversations, the model counted on all others: a few hundred sums reach the driver.
+
+    So no transcript is scored by what was counted on it. If there are no others, all are counted.
+    """
+    rows = parts.select("turns", "before", "fold").mapInArrow(_counted, "kind string, given string, value string, n long, fold int").groupBy("kind", "given", "value", "fold").agg(F.sum("n").alias("n")).collect()
+
+    def model(without: int | None) -> Model:
+        counts: Counter = Counter()
+        for r in rows:
+            if r["fold"] != without:
+                counts[r["kind"], r["given"], r["value"]] += r["n"]
+        return Model(counts)
+
+    return [model(fold if any(r["fold"] != fold for r in rows) else None) for fold in range(FOLDS)]
 
 
 def _through(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The scores and first states of each part that has lines."""
     for batch in batches:
         at, scores, firsts = [], [], []
-        for i, (turns, before) in enumerate(zip(batch["turns"].to_pylist(), batch["before"].to_pylist())):
+        for i, (turns, before, fold) in enumerate(zip(*[batch[c].to_pylist() for c in ("turns", "before", "fold")])):
             lines = read_transcript(_write(turns)[0], before is not None)
             if lines:
-                one, two = model.value.through(lines, before is not None)
+                one, two = model.value[fold].through(lines, before is not None)
                 at.append(i), scores.append(one), firsts.append(two)
         rows = pa.array(at, pa.int64())
         yield pa.RecordBatch.from_arrays([batch["conv_id"].take(rows), batch["part"].take(rows), pa.array(scores, pa.list_(pa.float64())), pa.array(firsts, pa.list_(pa.int32()))], ["conv_id", "part", "scores", "firsts"])
@@ -307,18 +319,18 @@ def borders(parts: DataFrame, model) -> DataFrame:
     """
     (field,) = [f for f in parts.schema if f.name == "conv_id"]
     kind = field.dataType.simpleString()
-    spans = parts.where("several").select("conv_id", "part", "turns", "before").mapInArrow(partial(_through, model), f"conv_id {kind}, part long, scores array<double>, firsts array<int>")
+    spans = parts.where("several").select("conv_id", "part", "turns", "before", "fold").mapInArrow(partial(_through, model), f"conv_id {kind}, part long, scores array<double>, firsts array<int>")
     schema = pa.schema([("conv_id", to_arrow_type(field.dataType)), ("part", pa.int64()), *[(c, pa.int32()) for c in ("entry", "last", "following")]])
     return spans.repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(partial(_chained, schema), f"conv_id {kind}, part long, entry int, last int, following int")
 
 
 def _parsed(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    model = model.value
+    models = model.value
     for batch in batches:
         n, found, agreed, out = [], [], [], []
-        for turns, *around in zip(*[batch[c].to_pylist() for c in ("turns", "entry", "last", "following")]):
+        for turns, fold, *around in zip(*[batch[c].to_pylist() for c in ("turns", "fold", "entry", "last", "following")]):
             text, known = _write(turns)
-            pieces = model.pieces(text, *around)
+            pieces = models[fold].pieces(text, *around)
             got = [(role, body) for role, body, begins, ends in pieces if begins and ends]
             right = Counter((role, body.strip()) for role, body in known) & Counter((role, body.strip()) for role, body in got)
             n.append(len(known))
@@ -346,7 +358,7 @@ def chat_formatting(conversations: DataFrame) -> DataFrame:
         parts = _with(parts, written(borders(parts, model), "borders"), "conv_id", "part")
     else:
         parts = parts.withColumns({c: F.lit(None).cast("int") for c in ("entry", "last", "following")})
-    return parts.select("conv_id", "part", "turns", "entry", "last", "following").mapInArrow(partial(_parsed, model), f"conv_id {kind}, part long, n_turns long, n_parsed long, n_agreed long, rendered string")
+    return parts.select("conv_id", "part", "turns", "fold", "entry", "last", "following").mapInArrow(partial(_parsed, model), f"conv_id {kind}, part long, n_turns long, n_parsed long, n_agreed long, rendered string")
 
 
 def _formatted(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

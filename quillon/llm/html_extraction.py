@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches, written
 
-#: Composite importance below which a branch is removed; pages of a host before that is judged; the weights of presentation and of a main element's mark.
-THRESHOLD, LEAST_PAGES, PRESENTATION, MARKED = 0.2, 5, 0.1, 0.1
+#: Composite importance below which a branch is removed; pages that a host is taken to have besides, so that few equal pages prove
+#: little; the weights of presentation and of a main element's mark.
+THRESHOLD, UNSEEN, PRESENTATION, MARKED = 0.2, 2, 0.1, 0.1
 
 #: Fixed values of HTML: elements without content, with raw text, that break blocks, and that no text is taken from.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,9 +38,12 @@ RAW = frozenset("script style textarea title noscript template iframe noframes x
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 DROPPED = frozenset("head nav footer aside form button select script style svg math canvas object audio video dialog menu search noscript template iframe".split())
 MAIN = frozenset(("article", "main"))
-#: An opening tag closes an open element of these names, within the nearest element of the second set.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Elements that an opening tag closes, if one is open within the nearest element of the second set; and the tags that close them.
+SCOPES = (({"p"}, {"td", "th", "button", "table", "object"}), ({"li"}, {"ul", "ol", "menu"}), ({"dt", "dd"}, {"dl"}), ({"tr"}, {"table"}), ({"td", "th"}, {"tr", "table"}), ({"option"}, {"select"}), ({"nav", "head"}, set()))
+CLOSED_BY = {**{tag: (0,) for tag in BLOCK}, "li": (0, 1), "dt": (0, 2), "dd": (0, 2), "tr": (0, 3), "td": (0, 4), "th": (0, 4), "option": (0, 5), "article": (0, 6), "main": (0, 6)}
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer sidebar notice cookie cookies consent gdpr popup modal newsletter subscribe signup login share sharing social related recommended comment comments disqus reply replies form search pagination pager widget toolbar copyright".split())
+#: Words that a noise class may have besides: "share-buttons" is noise, "share-price" is not.
+GENERIC_WORDS = frozenset("area bar block box button buttons container group inner item items left link links list outer panel right section slot unit wrap wrapper".split())
 OUTSIDE_NOISE = frozenset("header masthead".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
@@ -55,39 +59,49 @@ def _traits(tag: str, attributes: str) -> tuple[str, bool, bool]:
     words = {w for name in names for w in re.split(r"[-_]", name)}
     noise = tag in DROPPED or found.get("role", "").lower() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", found.get("style", ""), re.I))
     if tag not in MAIN and tag not in ("html", "body"):
-        noise = noise or bool(words & NOISE_WORDS)
+        noise = noise or any(set(parts) & NOISE_WORDS and set(parts) <= NOISE_WORDS | GENERIC_WORDS for parts in (re.split(r"[-_]+", w) for w in names if w))
     label = ".".join(sorted(n for n in names if n and not re.search(r"\d", n)))
     return f"{tag}.{label}" if label else tag, noise, tag == "header" or bool(words & OUTSIDE_NOISE)
 
 
 class Page:
-    """The blocks of a page: (path, dropped, inside main, text); and elements: path -> child names."""
+    """The blocks of a page: (path, parent's path, dropped, inside main, text); and elements: path -> different child names.
+
+    Paths are hashes, and each open element knows which open element a tag would close, so that
+    time and memory are in proportion to the page, however deep it is nested.
+    """
 
     __slots__ = ("blocks", "children")
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, bool, bool, str]] = []
-        self.children: dict[str, list[str]] = {}
-        # an open element: tag, path, dropped, inside main
-        stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        self.blocks: list[tuple[int, int, bool, bool, str]] = []
+        self.children: dict[int, dict[str, None]] = {}
+        # an open element: tag, path, parent's path, dropped, inside main, places of what may be closed
+        stack: list[tuple[str, int, int, bool, bool, tuple]] = [("", path_id(""), path_id(""), False, False, (0,) * len(SCOPES))]
+        count: dict[str, int] = {}
         text: list[str] = []
 
         def flush() -> None:
             if text:
-                whole = " ".join(html.unescape("".join(text)).split())
+                whole = " ".join("".join(text).split())
                 text.clear()
                 if whole:
-                    _, path, dropped, main = stack[-1]
-                    self.blocks.append((path, dropped, main, whole))
+                    _, path, above, dropped, main, _ = stack[-1]
+                    self.blocks.append((path, above, dropped, main, whole))
+
+        def cut(size: int) -> None:
+            for element in stack[size:]:
+                count[element[0]] -= 1
+            del stack[size:]
 
         at, n = 0, len(source)
         while at < n:
             m = TOKEN.search(source, at)
             if not m:
-                text.append(source[at:])
+                text.append(html.unescape(source[at:]))
                 break
             if m.start() > at:
-                text.append(source[at : m.start()])
+                text.append(html.unescape(source[at : m.start()]))
             at = m.end()
             tag = (m[2] or "").lower()
             if not tag:
@@ -95,24 +109,21 @@ class Page:
             if m[1]:
                 if tag == "br":
                     text.append(" ")
-                    continue
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        if any(e[0] in BLOCK for e in stack[i:]):
-                            flush()
-                        del stack[i:]
-                        break
-                else:
-                    if tag in BLOCK:
+                elif count.get(tag):
+                    size = len(stack) - 1
+                    while stack[size][0] != tag:
+                        size -= 1
+                    if any(e[0] in BLOCK for e in stack[size:]):
                         flush()
+                    cut(size)
+                elif tag in BLOCK:
+                    flush()
                 continue
             if tag in BLOCK:
                 flush()
-                self._close(stack, "p", {"p"}, {"td", "th", "button", "table", "object"})
-                if tag in MAIN:
-                    self._close(stack, tag, {"nav", "head"}, set())
-                if tag in CLOSES:
-                    self._close(stack, tag, *CLOSES[tag])
+                for scope in CLOSED_BY[tag]:
+                    if stack[-1][5][scope]:
+                        cut(stack[-1][5][scope])
             elif tag == "br":
                 text.append(" ")
             if tag in RAW:
@@ -122,28 +133,26 @@ class Page:
             if tag in VOID or (m[3] or "").endswith("/") and tag not in BLOCK:
                 continue
             name, noise, outside = _traits(tag, m[3] or "")
-            _, path, dropped, main = stack[-1]
-            self.children.setdefault(path, []).append(name)
+            _, path, _, dropped, main, places = stack[-1]
+            self.children.setdefault(path, {})[name] = None
             inside = main or (tag in MAIN and not dropped)
             dropped = dropped or noise or (outside and not main)
-            stack.append((tag, f"{path}/{name}", dropped, inside and not dropped))
+            if tag in _SCOPED:
+                places = tuple(len(stack) if tag in names else 0 if tag in within else place for place, (names, within) in zip(places, SCOPES))
+            stack.append((tag, path_id(name, path), path, dropped, inside and not dropped, places))
+            count[tag] = count.get(tag, 0) + 1
         flush()
 
-    @staticmethod
-    def _close(stack: list, tag: str, names: set[str], within: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return
-            if stack[i][0] in within:
-                return
-
     def text(self, noise: set[int]) -> str:
-        return "\n".join(t for path, dropped, _, t in self.blocks if not dropped and path_id(path) not in noise)
+        return "\n".join(t for path, _, dropped, _, t in self.blocks if not dropped and path not in noise)
+
+
+_SCOPED = frozenset().union(*[names | within for names, within in SCOPES])
 
 
-def path_id(path: str) -> int:
-    return xxhash.xxh64_intdigest(path) - (1 << 63)
+def path_id(name: str, above: int = 0) -> int:
+    """A signed 64-bit hash of a name below a path."""
+    return xxhash.xxh64_intdigest(name, above & (2**64 - 1)) - (1 << 63)
 
 
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,16 +161,15 @@ def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hosts, rows = [], []
         for host, source in zip(batch["host"].to_pylist(), batch["html"].to_pylist()):
             page = Page(source or "")
-            judged = [(path, main, text) for path, dropped, main, text in page.blocks if not dropped]
-            content = path_id("\0".join(f"{path}\0{text}" for path, _, text in judged))
-            ids, seen = {}, set()
-            for path, main, text in judged:
-                if path not in ids:
-                    above = path.rpartition("/")[0]
-                    ids[path] = path_id(path), path_id(above)
-                    seen.add((*ids[path], 0, int(main), content))
-                    seen.add((ids[path][1], 0, 1, path_id(" ".join(dict.fromkeys(page.children.get(above, [])))), content))
-                seen.add((*ids[path], 2, path_id(text), content))
+            judged = [(path, above, main, text) for path, above, dropped, main, text in page.blocks if not dropped]
+            content = path_id("\0".join(f"{path}\0{text}" for path, _, _, text in judged))
+            styles, seen = {}, set()
+            for path, above, main, text in judged:
+                if above not in styles:
+                    styles[above] = path_id(" ".join(page.children.get(above, ())))
+                seen.add((path, above, 0, int(main), content))
+                seen.add((above, 0, 1, styles[above], content))
+                seen.add((path, above, 2, path_id(text), content))
             rows.extend(seen)
             hosts.extend([host] * len(seen))
         columns = list(zip(*rows)) if rows else [(), (), (), (), ()]
@@ -176,13 +184,13 @@ def style_tree(pages: DataFrame, copies: bool = True) -> DataFrame:
     rows = pages.select("host", "html").mapInArrow(_tree, "host string, path long, parent long, kind int, value long, content long")
     counts = written((rows if copies else rows.distinct()).groupBy("host", "path", "parent", "kind", "value").agg(F.count("*").alias("n")), "tree")
     presence = counts.where("kind = 0").select("host", "path", "parent", F.col("value").alias("main"), F.col("n").alias("m"))
-    # a text on n of m pages has the entropy log n / log m
+    # a text on n of m pages has the entropy log n / log m, m counting the unseen pages too
     content = counts.where("kind = 2").groupBy("host", "path", "parent").agg(F.avg(F.log("n")).alias("repeated"))
     styles = counts.where("kind = 1").groupBy("host", "path").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("weighted"))
     # -sum p log p = log total - (sum n log n) / total; a single page's presentation counts in full
     style = styles.select("host", F.col("path").alias("parent"), F.when(F.col("total") > 1, (F.log("total") - F.col("weighted") / F.col("total")) / F.log("total")).otherwise(1.0).alias("style"))
     leaf = presence.join(content, ["host", "path", "parent"]).join(style, ["host", "parent"], "left")
-    own = F.when(F.col("m") > 1, 1 - F.col("repeated") / F.log("m")).otherwise(1.0)
+    own = 1 - F.col("repeated") / F.log(F.col("m") + UNSEEN)
     tree = PRESENTATION * F.coalesce("style", F.lit(1.0)) + (1 - PRESENTATION) * own
     return leaf.select("host", "path", "m", (tree + MARKED * F.col("main") * (1 - tree)).alias("importance"))
 
@@ -199,13 +207,14 @@ def html_extraction(pages: DataFrame) -> DataFrame:
     Null and empty pages give "". Blocks are joined by \\n; character references are decoded and
     white space inside a block is one space, as is <br>. A null url belongs to the host "". Every
     page gives what its host's style tree holds important and no tag, role or class calls noise.
-    Copies of a page count once in the tree.
+    Copies of a page count once in the tree; repeated rows give equal texts, ties in importance are
+    kept. Long and deeply nested pages take time in proportion. Other columns are not read.
     """
     small_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col("page_id").alias("own_page_id"), F.col("url").alias("own_url"), host.alias("host"), "html")
     tree = style_tree(rows, copies=False)
-    noise = written(tree.where((F.col("m") >= LEAST_PAGES) & (F.col("importance") < THRESHOLD)).groupBy("host").agg(F.collect_set("path").alias("noise")), "noise")
+    noise = written(tree.where(F.col("importance") < THRESHOLD).groupBy("host").agg(F.collect_set("path").alias("noise")), "noise")
     kinds = dict(pages.dtypes)
     out = rows.join(noise, "host", "left").select("own_page_id", "own_url", "html", "noise").mapInArrow(_extract, f"own_page_id {kinds['page_id']}, own_url {kinds['url']}, text string, n_chars long")
     return out.select(F.col("own_page_id").alias("page_id"), F.col("own_url").alias("url"), "text", "n_chars")

@@ -1,7 +1,11 @@
 """HTML extraction and chat formatting."""
 
 import html
+import math
+import random
 import re
+import time
+from collections import Counter
 
 import pytest
 
@@ -53,8 +57,67 @@ def test_style_tree_removes_what_a_host_repeats(spark):
 def test_importance_is_entropy(spark):
     pages = spark.createDataFrame([("h", f"<p>{i % 2}</p>") for i in range(16)], "host string, html string")
     (row,) = style_tree(pages).collect()
-    # two texts on eight of sixteen pages each: 1 - log 8 / log 16; one presentation: 0
-    assert row.m == 16 and row.importance == pytest.approx(0.9 * 0.25)
+    # two texts on eight of sixteen pages each, and two unseen pages: 1 - log 8 / log 18; one presentation: 0
+    assert row.m == 16 and row.importance == pytest.approx(0.9 * (1 - math.log(8) / math.log(18)))
+
+
+def test_references_and_classes_and_depth():
+    assert Page("<p>AT&<b>amp;</b>T</p>1 &<!-- c -->lt; 2").text(set()) == "AT&amp;T\n1 &lt; 2"
+    assert Page("<article><div class='form-factor'>a</div><p class='share-price x'>b</p><p class='share-buttons'>c</p><p class='ad-slot'>d</p></article>").text(set()) == "a\nb"
+    assert Page("<table><tr><td>1<tr><td>2</table><ul><li>3<ul><li>4</ul><li>5</ul>").text(set()) == "1\n2\n3\n4\n5"
+    began = time.perf_counter()
+    deep = Page("<div>" * 200_000 + "core" + "</p></div>" * 200_000)
+    assert deep.text(set()) == "core"
+    assert Page("<p>a<table>" + "<div>" * 100_000 + "b").text(set()) == "a\nb"
+    assert time.perf_counter() - began < 20
+
+
+def brute_importance(pages):
+    """host -> path -> composite importance, by plain trees of named paths."""
+    out = {}
+    for host in {h for h, _ in pages}:
+        trees = [blocks(source) for h, source in pages if h == host]
+        different = {tuple(sorted(t[0])): t for t in trees}.values()
+        for path in {p for t in different for p, _ in t[0]}:
+            having = [t for t in different if any(p == path for p, _ in t[0])]
+            m = len(having)
+            count = Counter(text for t in having for text in {x for p, x in t[0] if p == path})
+            own = 1 - sum(math.log(n) for n in count.values()) / len(count) / math.log(m + 2)
+            above = path.rpartition("/")[0]
+            shapes = Counter(t[1][above] for t in different if any(p.rpartition("/")[0] == above for p, _ in t[0]))
+            total = sum(shapes.values())
+            style = -sum(n / total * math.log(n / total) for n in shapes.values()) / math.log(total) if total > 1 else 1.0
+            out[host, path] = 0.1 * style + 0.9 * own
+    return out
+
+
+def blocks(source):
+    """((path, text), ...) and path -> different child names, of sources made of <div> and <p> only."""
+    found, children, stack, at = [], {}, [""], 0
+    for m in re.finditer(r"<(/?)(\w+)>|([^<]+)", source):
+        if m[3]:
+            found.append(("/".join(stack), m[3].strip()))
+        elif m[1]:
+            stack.pop()
+        else:
+            path = "/".join(stack)
+            children[path] = children.get(path, ())
+            if m[2] not in children[path]:
+                children[path] += (m[2],)
+            stack.append(m[2])
+    return found, children
+
+
+def test_importance_matches_brute_force_on_random_sites(spark):
+    rng = random.Random(5)
+
+    def page():
+        inner = "".join(f"<p>{rng.choice('abc')}</p>" for _ in range(rng.randint(1, 2)))
+        return f"<div>{inner}</div>" + rng.choice(["", "<ul>same</ul>", f"<ul>{rng.choice('xyz')}</ul>", "<h6>foot</h6>"])
+
+    pages = [(rng.choice(["one", "two", "three"]), page()) for _ in range(40)]
+    got = sorted(round(r.importance, 9) for r in style_tree(spark.createDataFrame(pages, "host string, html string"), copies=False).collect())
+    assert got == sorted(round(v, 9) for v in brute_importance(pages).values()) and len(set(got)) > 5
 
 
 def test_style_tree_judges_pages_with_an_article(spark):
@@ -84,7 +147,7 @@ def test_roles_are_recovered(conversations):
 
 
 def test_plain_transcripts(spark, conversations):
-    model = chat.fit(chat.transcripts(conversations))
+    model, *_ = chat.fit(chat.transcripts(conversations))
     plain = spark.createDataFrame([(1, "User: hello\nthere\n\nAssistant: hi\n\nHuman: bye"), (2, None), (3, " \n")], "conv_id bigint, transcript string")
     got = {r.conv_id: r.rendered for r in chat.format_transcripts(plain, model).collect()}
     assert got == {1: "<|user|>\nhello\nthere\n<|end|>\n<|assistant|>\nhi\n<|end|>\n<|user|>\nbye\n<|end|>\n", 2: "", 3: ""}
@@ -106,20 +169,77 @@ def test_long_conversations_are_parsed_whole(spark):
     rows = [(c if c else None, t + (64 if t > 140 else 0), ("user", "assistant")[(t + t // 7) % 2], texts[(t * 7 + c) % 5]) for c in range(30) for t in range(200)]
     table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     parts = chat.transcripts(table)
-    model = chat.fit(parts)
-    turns, got = {}, {}
+    models = chat.fit(parts)
+    turns, got, folds = {}, {}, {}
     for r in sorted(parts.collect(), key=lambda r: r.part):
         turns.setdefault(r.conv_id, []).extend(r.turns)
+        folds[r.conv_id] = r.fold
     for r in sorted(chat.chat_formatting(table).collect(), key=lambda r: r.part):
         got[r.conv_id] = got.get(r.conv_id, "") + r.rendered
     assert len(got) == 30 and all(len(t) == 200 for t in turns.values())
-    assert got == {c: chat.render(model.turns(chat._write(t)[0])) for c, t in turns.items()}
+    assert len(set(folds.values())) == chat.FOLDS
+    assert got == {c: chat.render(models[folds[c]].turns(chat._write(t)[0])) for c, t in turns.items()}
+
+
+def plain_model(transcripts):
+    """Smoothed counts of (written text, [(role, lines)]): a probability for each start, step and feature."""
+    start, step, shown = Counter(), Counter(), Counter()
+    for text, turns in transcripts:
+        states = [(role, i > 0) for role, n in turns for i in range(n)]
+        lines = [f for f, _ in chat.read_transcript(text)]
+        for i, (state, features) in enumerate(zip(states, lines, strict=True)):
+            if i:
+                step[states[i - 1], state] += 1
+            else:
+                start[state] += 1
+            for feature in features:
+                shown[state, feature] += 1
+    return start, step, shown
+
+
+def share(counts, many, key, group):
+    return math.log((counts[key] + 0.1) / (sum(n for k, n in counts.items() if group(k)) + 0.1 * many))
+
+
+def test_whole_query_matches_a_plain_parser(spark, conversations):
+    """The registered query again, by dictionaries and a Viterbi of its own, each fold with the counts of the others."""
+    table = conversations.where("conv_id < 60")
+    rows = {r.conv_id: r for r in chat.transcripts(table).collect()}
+    written = {c: (chat._write(r.turns)[0], [(t.role, len([x for x in chat._write([t])[0].split("\n") if x.strip()])) for t in r.turns if (t.text or "").strip()]) for c, r in rows.items()}
+    want = {}
+    for fold in range(chat.FOLDS):
+        start, step, shown = plain_model([w for c, w in written.items() if rows[c].fold != fold])
+
+        def emit(state, features):
+            return sum(share(shown, chat.VALUES[f[0]], (state, f), lambda k: k[0] == state and k[1][0] == f[0]) for f in features)  # noqa: B023
+
+        seen = {}
+        steps = {(a, b): share(step, len(chat.STATES), (a, b), lambda k: k[0] == a) for a in chat.STATES for b in chat.STATES}  # noqa: B023
+        for c, (text, _) in written.items():
+            if rows[c].fold != fold:
+                continue
+            lines, best = chat.read_transcript(text), {}
+            for i, (features, _) in enumerate(lines):
+                for s in chat.STATES:
+                    if (s, features) not in seen:
+                        seen[s, features] = emit(s, features)
+                best = {s: max(((v + steps[p, s] + seen[s, features], [*path, s]) for p, (v, path) in best.items()), key=lambda x: x[0]) if i else (share(start, len(chat.STATES), s, lambda k: True) + seen[s, features], [s]) for s in chat.STATES}
+            path = max(best.values(), key=lambda x: x[0])[1] if best else []
+            turns = []
+            for state, (_, line) in zip(path, lines):
+                if state[1] and turns and turns[-1][0] == state[0]:
+                    turns[-1][1].append(line)
+                else:
+                    turns.append((state[0], [chat.opening(state[0], line)]))
+            want[c] = "".join(f"<|{role}|>\n{chat.BEFORE.sub('', chr(10).join(body)).rstrip()}\n<|end|>\n" for role, body in turns)
+    got = {r.conv_id: r.rendered for r in chat.chat_formatting(table).collect()}
+    assert len(want) > 20 and got == want
 
 
 def test_viterbi_finds_the_best_path(conversations):
     from itertools import product
 
-    model = chat.fit(chat.transcripts(conversations))
+    model, *_ = chat.fit(chat.transcripts(conversations))
     lines = chat.read_transcript("User: a\n\nsome words\nmore\n\nAI: x")
     def score(path):
         out = model.start[path[0]] + model.emission(lines[0][0])[path[0]]
