@@ -13,8 +13,8 @@ from quillon.llm.jaccard_join import representatives
 from quillon.llm.packing import pack
 from quillon.llm.quality_classifier import quality_classifier
 from quillon.llm.quality_rules import quality_rules
-from quillon.llm.queries import TOKENIZERS
-from quillon.llm.shared import written
+from quillon.llm.queries import vocabulary
+from quillon.llm.shared import column, written
 from quillon.llm.suffix_dedup import suffix_dedup
 
 #: Near duplicates: words of a shingle, and the similarity in hundredths.
@@ -25,31 +25,47 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all of the row in one column, so that none of its columns meets an operator's own."""
+    return docs.select("doc_id", "text", F.struct(*[column(c) for c in docs.columns]).alias("row"))
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the counted rules and the isolation forest keep."""
-    return quality_rules(docs, _labels(spark, sf_dir), docs.columns).where("kept").select(*docs.columns)
+    """Documents that the counted rules and the isolation forest keep.
+
+    Null and empty texts are rejected; repeated rows, ties and long texts are judged each by itself.
+    """
+    return quality_rules(_whole(docs), _labels(spark, sf_dir), ["row"]).where("kept").select("row.*")
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the neighbours' vote accepts."""
-    return quality_classifier(docs, _labels(spark, sf_dir), docs.columns).where("predicted = 1").select(*docs.columns)
+    """Documents that the neighbours' vote accepts. Null and empty texts score 0 and are rejected; repeated rows are scored each."""
+    return quality_classifier(_whole(docs), _labels(spark, sf_dir), ["row"]).where("predicted = 1").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the least doc_id."""
+    """One document of each group of near duplicates: the least doc_id, null only if there is no other.
+
+    Texts without words are no duplicates of each other and stay, a repeated (doc_id, text) once.
+    """
     return representatives(docs, SHINGLE, SIMILARITY)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of strings that occur elsewhere; n_chars follows the text."""
-    carry = [c for c in docs.columns if c not in ("text", "n_chars")]
-    out = suffix_dedup(docs, carry=carry, text=True).withColumnRenamed("kept_text", "text")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Texts without the bytes of strings that occur elsewhere; n_chars, if there, follows the text.
+
+    Null texts become empty ones. Repeated rows are occurrences of each other, so both lose what they share.
+    """
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    packed = docs.select("doc_id", "text", F.struct(*[column(c) for c in rest]).alias("row"))
+    out = suffix_dedup(packed, carry=["row"], text=True).withColumn("chars", F.length("kept_text").cast("long"))
+    made = {"text": F.col("kept_text").alias("text"), "n_chars": F.col("chars").alias("n_chars")}
+    return out.select(*[made.get(c, F.col("row").getField(c).alias(c)) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the remaining documents in their sequences."""
-    return pack(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    """The pieces of the remaining documents in their sequences. A null or empty text has one piece, its end token."""
+    return pack(docs, vocabulary("word_bpe_49k.json"))
 
 
 STAGES = [("quality rules", rules), ("quality classifier", classifier), ("near duplicates", near_duplicates), ("repeated substrings", repeated_substrings), ("packing", packing)]

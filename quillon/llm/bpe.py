@@ -128,14 +128,20 @@ class ByteBpe:
         return b"".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+#: Characters of a piece beyond which its ids are not remembered: long pieces are rare, and a few could fill a worker.
+REMEMBERED = 64
+
+
 class Generations(dict):
-    """A dict that computes missing values, and forgets those unused for a generation."""
+    """A dict that computes missing values, and forgets those unused for a generation. Long keys are not kept, so its size is bounded in bytes too."""
 
     def __init__(self, compute, size: int):
         super().__init__()
         self.compute, self.size, self.old = compute, size, {}
 
     def __missing__(self, key):
+        if len(key) > REMEMBERED:
+            return self.compute(key)
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)

@@ -56,6 +56,32 @@ def test_shots_follow_histograms():
     assert [c[:3] for c in media.clips(frames, np.array([0, 30]))] == [(0, 0, 19), (0, 20, 29)]
 
 
+def plain_feature(text):
+    """Shots frame by frame: a frame starts one if its histogram differs by more than FACTOR times the mean of the last differences."""
+    data = (text or "").encode()
+    data += b" " * (-len(data) % media.FRAME if data else media.FRAME)
+    frames = [data[i : i + media.FRAME] for i in range(0, len(data), media.FRAME)]
+    levels = [[sum(b >> 4 == level for b in f) for level in range(16)] for f in frames]
+    change = [0] + [sum(abs(x - y) for x, y in zip(a, b)) for a, b in zip(levels, levels[1:])]
+    cuts = [0]
+    for i in range(1, len(frames)):
+        before = change[max(1, i - media.RECENT) : i]
+        if before and change[i] > media.FLOOR and change[i] > media.FACTOR * sum(before) / len(before):
+            cuts.append(i)
+    out = []
+    for a, b in zip(cuts, [*cuts[1:], len(frames)]):
+        out.append(f"{a}-{b - 1}:{sum(map(sum, frames[a:b])) * 256 // ((b - a) * media.FRAME)}")
+    return f"{len(out)} clips " + " ".join(out)
+
+
+def test_features_match_plain_shots(spark, documents, texts):
+    odd = {-1: "a" * 1000 + "\U0001f600" * 300 + "zz" * 900 + "0" * 500, -2: None, -3: "é" * 96}
+    extra = spark.createDataFrame(list(odd.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.feature for r in media.media_digest(documents.select("doc_id", "text").unionByName(extra)).collect()}
+    want = {d: plain_feature(t) for d, t in {**texts, **odd}.items()}
+    assert got == want and any(not f.startswith("1 ") for f in want.values())
+
+
 def expected(text):
     data = (text or "").encode()
     payload = data + b" " * (-len(data) % 192) if data else b" " * 192

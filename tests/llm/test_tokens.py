@@ -1,5 +1,6 @@
 """BPE and packing against the tokenizers library."""
 
+import hashlib
 import zlib
 from collections import defaultdict
 
@@ -8,12 +9,12 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillon.llm.bpe import ByteBpe, bpe_digest, bpe_round_trip
+from quillon.llm.bpe import REMEMBERED, ByteBpe, bpe_digest, bpe_round_trip
 from quillon.llm.packing import CAPACITY, WordIds, cut, pack, plan, price
-from quillon.llm.queries import TOKENIZERS
+from quillon.llm.queries import vocabulary
 
 tokenizers = pytest.importorskip("tokenizers")
-BYTES, WORDS = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/word_bpe_49k.json"
+BYTES, WORDS = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +57,23 @@ def test_documents_round_trip(documents, texts, byte_pair):
     assert got == {d: (byte_pair[1].encode(t, add_special_tokens=False).ids, t) for d, t in texts.items()}
 
 
+def test_digests_match_the_library(documents, texts, byte_pair):
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_digest(documents, BYTES).collect()}
+    want = {}
+    for d, t in texts.items():
+        ids = byte_pair[1].encode(t or "", add_special_tokens=False).ids
+        decoded = byte_pair[1].decode(ids, skip_special_tokens=False)
+        want[d] = len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    assert got == want
+
+
+def test_long_pieces_are_not_remembered(byte_pair):
+    own, library = byte_pair
+    long = "ab" * 5000
+    assert np.frombuffer(own.encode(long), "<u4").tolist() == library.encode(long, add_special_tokens=False).ids
+    assert not any(len(k) > REMEMBERED for g in (own.cache, own.tokens) for k in (*g, *g.old))
+
+
 def test_bpe_hostile_rows(hostile, nothing):
     rows = bpe_digest(hostile, BYTES).collect()
     assert len(rows) == 13 and sorted(r.n_tokens for r in rows)[:3] == [0, 0, 0]
