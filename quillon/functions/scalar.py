@@ -219,11 +219,31 @@ def _unhex(v: Value) -> Value:
 
 
 def _abs(v: Value) -> Value:
-    return Value(f"abs({_number('ABS', v)})", v.type)
+    number = _number("ABS", v)
+    return Value(f"(CASE WHEN {number} < 0 THEN {_opposite(number, v.type)} ELSE {number} END)" if _wide(v.type) else f"abs({number})", v.type)
+
+
+def _wide(t: Type) -> bool:
+    """Whether values may have more than 34 digits, beyond which Spark's unary minus rounds."""
+    return (t.is_integer or t.kind == "decimal") and t.spark().startswith("decimal") and _digits(t) > 34
+
+
+def _opposite(sql: str, t: Type) -> str:
+    if not _wide(t):
+        return f"(-{sql})"
+    text = f"CAST({sql} AS STRING)"
+    return f"CAST(CASE WHEN {sql} < 0 THEN substring({text}, 2) WHEN {sql} > 0 THEN concat('-', {text}) ELSE {text} END AS {t.spark()})"
 
 
 def _round(v: Value, places: Value | None = None) -> Value:
-    return Value(f"round({_number('ROUND', v)}, {places.sql if places else 0})", v.type)
+    number = _number("ROUND", v)
+    if v.type.kind not in FLOATS:
+        return Value(f"round({number}, {places.sql if places else 0})", v.type)
+    # the double itself is scaled: 1.005 lies below the tie, and so does its product with 100
+    x, n = f"CAST({number} AS DOUBLE)", f"CAST({places.sql if places else 0} AS INT)"
+    scale = f"pow(10D, abs({n}))"
+    sql = f"(CASE WHEN {n} >= 0 THEN round({x} * {scale}, 0) / {scale} ELSE round({x} / {scale}, 0) * {scale} END)"
+    return Value(f"CAST({sql} AS {v.type.spark()})", v.type)
 
 
 def _whole(function: str):
@@ -413,8 +433,7 @@ def arithmetic(op: str, a: Value, b: Value) -> Value:
             return Value(f"(CAST({a.sql} AS DOUBLE) {op} CAST({b.sql} AS DOUBLE))", DOUBLE)
         scales = [0 if t.is_integer else (t.scale or 0) if t.size else 18 for t in (x, y)]
         if op == "/":
-            s = min(max(scales), 6) if max(scales) else 0
-            return Value(f"CAST(CAST({a.sql} AS DECIMAL({20},{s})) / CAST({b.sql} AS DECIMAL({20},{s})) AS DECIMAL(38,18))", Type("decimal", 38, 18))
+            return Value(_quotient(a, b, *scales), Type("decimal", 38, 18))
         if x.is_integer and y.is_integer:
             # two 64-bit sides may need more; with a smaller side the result stays 64 bits, and overflow is an error
             kinds = [t.spark() for t in (x, y)]
@@ -433,6 +452,35 @@ def arithmetic(op: str, a: Value, b: Value) -> Value:
     return out
 
 
+def _digits(t: Type) -> int:
+    """Decimal digits that a value of an exact type may have."""
+    name = t.spark()
+    return {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}.get(name) or int(name[8:].split(",")[0])
+
+
+def _quotient(a: Value, b: Value, s: int, r: int) -> str:
+    """a / b with 18 digits after the point; a has s of them, b r. No operand loses a digit.
+
+    Spark keeps 18 digits if a's digits before the point and b's after it are 20 together. A wide
+    divisor is taken by the digits that it really has after the point; what still has more is an error.
+    """
+
+    p = _digits(a.type)
+    if p - s + r <= 20:
+        return f"CAST(CAST({a.sql} AS DECIMAL({p},{s})) / CAST({b.sql} AS DECIMAL(38,{r})) AS DECIMAL(38,18))"
+
+    def by(scale: int) -> str:
+        most = min(p, 20 - scale + s)
+        if most <= s:
+            return "NULL"
+        return f"try_cast(try_divide(try_cast({a.sql} AS DECIMAL({most},{s})), CAST({b.sql} AS DECIMAL(38,{scale}))) AS DECIMAL(38,18))"
+
+    # no branch fails by itself: the optimizer folds those that are not taken too
+    cases = "".join(f"WHEN try_cast(CAST({b.sql} AS DECIMAL(38,{scale})) AS {b.type.spark()}) = {b.sql} THEN {by(scale)} " for scale in (0, 6, 12) if scale < r)
+    result = f"CASE {cases}ELSE {by(r)} END" if cases else by(r)
+    return f"coalesce({result}, CASE WHEN {a.sql} IS NULL OR {b.sql} IS NULL THEN NULL ELSE {fail('a division by zero, or of more than 38 digits')} END)"
+
+
 def _temporal(op: str, a: Value, b: Value) -> Value | None:
     x, y = a.type.kind, b.type.kind
     if op not in "+-":
@@ -478,7 +526,7 @@ def _temporal(op: str, a: Value, b: Value) -> Value | None:
 def negate(v: Value) -> Value:
     if v.type.is_numeric or v.type.kind in ("interval_ym", "interval_ds", "null"):
         wide = {"uint8": "int16", "uint16": "int32", "uint32": "int64", "uint64": "int128", "uint128": "int128"}.get(v.type.kind)
-        return Value(f"(-{v.sql})", Type(wide) if wide else v.type)
+        return Value(_opposite(v.sql, v.type), Type(wide) if wide else v.type)
     raise ValidationError(f"no operator -{v.type.ddl()}")
 
 
