@@ -320,8 +320,6 @@ class Definitions:
         names = [n for n, _ in out.columns]
         if len(set(names)) < len(names):
             raise ValidationError("the columns need different names")
-        if any(ty.kind.startswith("interval") for _, ty in out.columns):
-            raise ValidationError("intervals are not stored")
         key = next(n for n in ("id", *(f"id_{i}" for i in range(1, 100))) if n not in names)
         kinds = [TEXT if ty.kind == "null" else Type("float64") if ty.kind in FLOATS else ty for _, ty in out.columns]
         table = Table(node.into, [ColumnMeta(key, INT, False, True), *(ColumnMeta(n, ty) for n, ty in zip(names, kinds))], [key])

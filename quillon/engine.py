@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mutations
+from .client import Cells, Cursor
 from .definitions import Definitions
-from .errors import QuillonError, TransactionError, ValidationError
+from .errors import ConstraintError, QuillonError, TransactionError, ValidationError
 from .functions.scalar import Value, clock, quote, zone
 from .operators.relational import fixpoint
 from .operators.render import ascii_table
@@ -136,6 +137,7 @@ class Engine:
         return [literal(v) for v in values]
 
     def _report(self, node, parameters: list[Value]) -> DataFrame:
+        self._refresh()
         if isinstance(node, t.Select):
             if node.into:
                 raise ValidationError("SELECT INTO is executed, not queried")
@@ -152,6 +154,8 @@ class Engine:
         raise ValidationError(f"{node.kind} returns no rows")
 
     def _run(self, node, parameters: list[Value], rows: dict | None = None, depth: int = 0) -> int:
+        if not depth:
+            self._refresh()
         if isinstance(node, t.Select) and not node.into:
             return self.plan(node, parameters, rows).count()
         if isinstance(node, t.Statement):
@@ -194,9 +198,17 @@ class Engine:
 
     # transactions
 
+    def _refresh(self) -> None:
+        """Outside a transaction, takes over what other engines have published at this path."""
+        if self._begun is None and self.storage.persistent:
+            there = self.storage.load()
+            if there.version != self.catalog.version:
+                self.catalog = there
+
     def _begin(self) -> None:
         if self._begun is not None:
             raise TransactionError("a transaction is open already")
+        self._refresh()
         self._begun = self.catalog.copy()
 
     def _need(self) -> None:
@@ -205,8 +217,12 @@ class Engine:
 
     def _commit(self) -> None:
         self._need()
+        try:
+            self.storage.publish(self.catalog)
+        except BaseException:
+            self._rollback()
+            raise
         self._begun, self._savepoints = None, []
-        self.storage.publish(self.catalog)
 
     def _rollback(self) -> None:
         self._need()
@@ -279,6 +295,42 @@ class Engine:
         names = {f.name for f in dataclasses.fields(kind)}
         return [kind(**{k: v for k, v in row.asDict().items() if k in names}) for row in self.query(sql, *values).collect()]
 
+    def query_one_as(self, kind: type, sql: str, *values: Any):
+        """The first row as a dataclass instance, or None."""
+        names = {f.name for f in dataclasses.fields(kind)}
+        row = self.query_row(sql, *values)
+        return None if row is None else kind(**{k: v for k, v in row.asDict().items() if k in names})
+
+    def cells(self, sql: str, *values: Any) -> list[Cells]:
+        """Rows whose values are got by type."""
+        return [Cells(row) for row in self.query(sql, *values).collect()]
+
+    def cursor(self, table: str, key: str = ROWID) -> Cursor:
+        """A cursor over an own table in the order of its row numbers, or of another column."""
+        meta = mutations.target_table(self, table)
+        if key != ROWID and meta.column(key) is None:
+            raise ValidationError(f"unknown column {table}.{key}")
+        return Cursor(self.storage.read(meta), key)
+
+    def integrity_check(self) -> list[str]:
+        """What is wrong with the own tables: missing or odd parts, row numbers, NOT NULL, checks, keys, references."""
+        self._refresh()
+        found = []
+        for table in self.catalog.tables.values():
+            bad = self.storage.faults(table)
+            found += bad
+            if bad or not table.parts:
+                continue
+            rows = self.storage.read(table)
+            if rows.groupBy(ROWID).count().where("count > 1").take(1) or rows.where(f"{ROWID} IS NULL OR {ROWID} >= {table.next_rowid}").take(1):
+                found.append(f"{table.name}: row numbers are not unique and below {table.next_rowid}")
+            for check in (lambda: mutations.check_rows(self, table, rows), lambda: mutations.check_keys(table, rows, None), lambda: mutations.check_parents(self, table, rows)):  # noqa: B023
+                try:
+                    check()
+                except ConstraintError as error:
+                    found.append(str(error))
+        return found
+
     def table_text(self, sql: str, *values: Any) -> str:
         df = self.query(sql, *values)
         return ascii_table(df.columns, [tuple(r) for r in df.collect()])

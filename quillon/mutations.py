@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .errors import ConstraintError, ValidationError
-from .functions.scalar import Value, cast_to
+from .functions.scalar import Value, cast_to, quote
 from .operators.relational import duplicate_keys
 from .plans import tree as t
 from .plans.parser import parse_expression
@@ -243,7 +243,7 @@ def insert(engine: Engine, node: t.Statement, parameters: list[Value], rows: dic
     for c in table.columns:
         if c.name not in columns and not (c.auto or c.default is not None or c.nullable):
             raise ValidationError(f"{table.name}.{c.name} needs a value")
-    if node.duplicate and node.rows and len(node.rows) > 1:  # one after another, each sees the last
+    if node.duplicate and node.rows and len(node.rows) > 1 and not settles(table, node):  # one after another, each sees the last
         total, events = 0, []
         for row in node.rows:
             n, e = insert(engine, t.Statement("insert", {**node.parts, "rows": (row,)}), parameters, rows)
@@ -294,8 +294,39 @@ def _names(node) -> bool:
     return isinstance(node, t.Column) and node.table not in ("NEW", "OLD") or any(_names(c) for c in children(node))
 
 
+def settles(table: Table, node: t.Statement) -> bool:
+    """Whether conflicts are settled in one join: the table has one key, and the assignments leave it alone."""
+    keys = keys_of(table)
+    return len(keys) == 1 and not {column.name for column, _ in node.duplicate} & set(keys[0])
+
+
+def settled(engine: Engine, table: Table, node: t.Statement, fresh: DataFrame, parameters: list[Value]) -> tuple[DataFrame, str]:
+    """As if row by row: of the rows of one key the first is inserted, if it is not there, and every other one updates it.
+
+    An update sees the row that the one before it left; constraints are checked on the last.
+    """
+    (key,) = keys_of(table)
+    old = engine.storage.read(table)
+    own = [F.col(ident(c)) for c in key]
+    named = " AND ".join(f"{ident(c)} IS NOT NULL" for c in key)
+    asked = folded(table, fresh).where(named).groupBy(*own).agg(F.min(ROWID).alias("first"), F.count("*").alias("times"))
+    there = folded(table, old).select(*own, F.col(ROWID).alias("held"))
+    hits = engine._save(asked.join(there, [ident(c).strip("`") for c in key], "left").select("first", "times", "held"))
+    conflicted = old.join(hits.where("held IS NOT NULL").select(F.col("held").alias(ROWID), "times"), ROWID)
+    if conflicted.take(1):
+        new, changed = assigned(engine, table, conflicted, node.duplicate, parameters, "times")
+        change_rows(engine, table, conflicted.drop("times"), new, changed)
+    once = hits.where("held IS NULL").select(F.col("first").alias(ROWID), (F.col("times") - 1).alias("times"))
+    rest = fresh.join(once, ROWID).unionByName(fresh.where(f"NOT ({named})").withColumn("times", F.lit(0).cast("bigint")))
+    rest, _ = assigned(engine, table, rest, node.duplicate, parameters, "times")
+    part = engine.storage.write(table.name, rest.select(*fresh.columns))
+    return part_rows(engine, table, part), part
+
+
 def on_duplicate(engine: Engine, table: Table, node: t.Statement, fresh: DataFrame, part: str, parameters: list[Value]) -> tuple[DataFrame, str]:
     """Updates the rows that fresh conflicts with; what remains of fresh, as a part of its own."""
+    if settles(table, node):
+        return settled(engine, table, node, fresh, parameters)
     old = engine.storage.read(table)
     hits, asked, there = None, folded(table, fresh), folded(table, old)
     for key in keys_of(table):
@@ -315,8 +346,8 @@ def on_duplicate(engine: Engine, table: Table, node: t.Statement, fresh: DataFra
     return part_rows(engine, table, rest), rest
 
 
-def assigned(engine: Engine, table: Table, rows: DataFrame, assignments: tuple, parameters: list[Value]) -> tuple[DataFrame, set[str]]:
-    """rows (a DataFrame of the table) with assignments that see the old values."""
+def assigned(engine: Engine, table: Table, rows: DataFrame, assignments: tuple, parameters: list[Value], times: str | None = None) -> tuple[DataFrame, set[str]]:
+    """rows (a DataFrame of the table) with assignments that see the old values; made as many times as the column `times` says."""
     scope = Scope([(table.name, [(c.name, c.type) for c in table.columns], set())])
     renderer = engine.renderer(parameters)
     values = {}
@@ -326,6 +357,13 @@ def assigned(engine: Engine, table: Table, rows: DataFrame, assignments: tuple,
             raise ValidationError(f"unknown column {table.name}.{column.name}")
         values[column.name] = stored(renderer.value(value, scope), meta.type)
     view = engine._view(rows)
+    if times is not None:
+        if any(subqueries(value) for _, value in assignments):
+            raise ValidationError("ON DUPLICATE KEY UPDATE takes no subqueries")
+        before = ", ".join(f"{quote(c)}, {ident(c)}" for c in [*table.names(), ROWID])
+        after = ", ".join(f"{quote(c)}, {values.get(c, f'{ident(table.name)}.{ident(c)}')}" for c in [*table.names(), ROWID])
+        steps = f"IF({times} > 0, sequence(1, {times}), CAST(array() AS ARRAY<BIGINT>))"
+        return engine.spark.sql(f"SELECT x.* FROM (SELECT aggregate({steps}, named_struct({before}), ({ident(table.name)}, `__step`) -> named_struct({after})) AS x FROM {view})"), set(values)
     own = ", ".join(f"{values.get(c, f'{ident(table.name)}.{ident(c)}')} AS {ident(c)}" for c in [*table.names(), ROWID])
     return engine.spark.sql(f"SELECT {own} FROM {view} AS {ident(table.name)}"), set(values)
 

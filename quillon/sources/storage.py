@@ -12,14 +12,21 @@ import copy
 import json
 import re
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import QuillonError, TransactionError
 from ..plans.types import Type
 
 ROWID = "rowid"
+#: Seconds that a writer waits for the lock, and after which a lock's owner is taken for dead; it is held for one rename.
+LOCK_WAIT, LOCK_SECONDS = 10.0, 60.0
 
 
 @dataclass
@@ -76,6 +83,7 @@ class Catalog:
     tables: dict[str, Table] = field(default_factory=dict)
     views: dict[str, str] = field(default_factory=dict)
     triggers: dict[str, Trigger] = field(default_factory=dict)
+    version: int = 0
 
     def copy(self) -> Catalog:
         return copy.deepcopy(self)
@@ -86,7 +94,7 @@ class Catalog:
     @staticmethod
     def from_json(text: str) -> Catalog:
         raw = json.loads(text)
-        out = Catalog(views=raw["views"], triggers={k: Trigger(**v) for k, v in raw["triggers"].items()})
+        out = Catalog(views=raw["views"], triggers={k: Trigger(**v) for k, v in raw["triggers"].items()}, version=raw.get("version", 0))
         for name, table in raw["tables"].items():
             columns = [ColumnMeta(**{**c, "type": Type(**{**c["type"], "values": tuple(c["type"]["values"])})}) for c in table.pop("columns")]
             foreign = [ForeignKey(**f) for f in table.pop("foreign")]
@@ -101,6 +109,8 @@ class Storage:
         self.spark, self.persistent = spark, path is not None
         if path is None:
             shared = spark.conf.get("spark.checkpoint.dir", None)
+            if not shared and not spark.sparkContext.master.startswith("local"):
+                raise QuillonError("on a cluster, an engine without a path needs spark.checkpoint.dir: executors share no local folder")
             path = f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="quillon-tables-")
         self.path = path.rstrip("/")
         self._jvm = spark._jvm
@@ -120,9 +130,44 @@ class Storage:
             stream.close()
 
     def publish(self, catalog: Catalog) -> None:
-        """Replaces the manifest by one rename."""
+        """Replaces the manifest by one rename, under the writers' lock, if it is still the version that this engine read."""
         if not self.persistent:
             return
+        with self._locked():
+            there = self.load().version
+            if there != catalog.version:
+                raise TransactionError(f"another engine has published version {there} since version {catalog.version} was read; open the path anew")
+            catalog.version += 1
+            try:
+                self._replace(catalog)
+            except BaseException:
+                catalog.version -= 1
+                raise
+
+    @contextmanager
+    def _locked(self) -> Iterator[None]:
+        """The writers' lock: a file that only one can create. A lock of LOCK_SECONDS is taken for one whose owner is gone."""
+        at, began = self._path("writer.lock"), time.monotonic()
+        while True:
+            try:
+                self._fs.create(at, False).close()
+                break
+            except Py4JJavaError as error:
+                if not self._fs.exists(self._path("")) or "exist" not in str(error.java_exception).lower():
+                    raise
+                status = self._fs.listStatus(at) if self._fs.exists(at) else []
+                if len(status) and time.time() - status[0].getModificationTime() / 1000 > LOCK_SECONDS:
+                    self._fs.delete(at, False)
+                elif time.monotonic() - began > LOCK_WAIT:
+                    raise TransactionError(f"{self.path} is locked by another writer") from None
+                else:
+                    time.sleep(0.05)
+        try:
+            yield
+        finally:
+            self._fs.delete(at, False)
+
+    def _replace(self, catalog: Catalog) -> None:
         fresh = self._path(f"manifest-{uuid.uuid4().hex}.json")
         stream = self._fs.create(fresh, True)
         stream.write(bytearray(catalog.to_json().encode()))
@@ -144,6 +189,17 @@ class Storage:
         rows.write.parquet(f"{self.path}/{part}")
         return part
 
+    def faults(self, table: Table) -> list[str]:
+        """Parts that are not there, or whose files have other columns than the table."""
+        found = []
+        want = {(c.name, kind.lower()) for c, kind in [*((c, c.type.spark()) for c in table.columns), (ColumnMeta(ROWID, Type("int64")), "bigint")]}
+        for part in table.parts:
+            if not self._fs.exists(self._path(part)):
+                found.append(f"{table.name}: part {part} is missing")
+            elif {(n, k) for n, k in self.spark.read.parquet(f"{self.path}/{part}").dtypes} != want:
+                found.append(f"{table.name}: part {part} has other columns")
+        return found
+
     def vacuum(self, catalogs: list[Catalog]) -> int:
         """Deletes the parts that none of the catalogs points at; how many."""
         used = {p for c in catalogs for table in c.tables.values() for p in table.parts}
