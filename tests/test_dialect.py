@@ -1,5 +1,7 @@
 """Lexing, parsing and rendering without tables of their own."""
 
+import decimal
+
 import pytest
 
 from quillon.errors import ParseError, ValidationError
@@ -29,7 +31,7 @@ def test_parameters_are_counted():
 
 def test_scripts_split_at_tokens():
     assert split_script("SELECT ';' FROM t; SELECT b FROM u;") == ["SELECT ';' FROM t;", "SELECT b FROM u;"]
-    assert script_is_complete("SELECT 1;") and script_is_complete("") and not script_is_complete("SELECT 'a;") and not script_is_complete("SELECT 1; INSERT INTO logs (id")
+    assert script_is_complete("SELECT 1;") and script_is_complete("") and not script_is_complete("SELECT 'a;") and not script_is_complete("DROP VIEW a; UPDATE stock SET n = (n")
 
 
 SHAPES = [
@@ -87,9 +89,37 @@ def test_values(one, expression):
     assert (bytes(got) if isinstance(got, bytearray) else got) == VALUES[expression]
 
 
-def test_exact_division(one):
-    assert str(one.query_one(ONE.format("2 / 3"))) == "0.666666666666666667"
-    assert one.query_one(ONE.format("5 / 2")) * 2 == 5
+@pytest.mark.parametrize(
+    ("quotient", "digits"),
+    [
+        ("2 / 3", "0.666666666666666667"),
+        ("5 / 2", "2.5"),
+        ("CAST('1.23456789' AS DECIMAL(20, 10)) / 1", "1.23456789"),
+        ("CAST('0.0000001' AS DECIMAL(20, 10)) / 2", "0.00000005"),
+        ("CAST('12345678901234567890' AS INT128) / 8", "1543209862654320986.25"),
+        ("CAST('-7' AS DECIMAL(38, 18)) / CAST('0.000000000000000002' AS DECIMAL(38, 18))", "-3500000000000000000"),
+        ("CAST('1000000.5' AS DECIMAL(38, 18)) / CAST('0.125' AS DECIMAL(38, 18))", "8000004"),
+    ],
+)
+def test_exact_division(one, quotient, digits):
+    assert one.query_one(ONE.format(quotient)) == decimal.Decimal(digits)
+
+
+def test_quotients_beyond_38_digits_are_errors(one):
+    with pytest.raises(Exception, match="."):
+        one.query_one(ONE.format("CAST('123456789012345678901234' AS INT128) / 1"))
+
+
+def test_wide_integers_keep_their_digits_when_negated(one):
+    digits = "98765432109876543210987654321098765432"
+    assert one.query_one(ONE.format(f"-CAST('{digits}' AS INT128)")) == -int(digits)
+    assert one.query_one(ONE.format(f"ABS(CAST('-{digits}' AS INT128))")) == int(digits)
+    assert one.query_one(ONE.format(f"-(-CAST('{digits}' AS INT128))")) == int(digits)
+
+
+@pytest.mark.parametrize(("rounded", "value"), [("ROUND(1.005, 2)", 1.0), ("ROUND(2.5)", 3.0), ("ROUND(-2.5)", -3.0), ("ROUND(1250.0, -2)", 1300.0), ("ROUND(0.49999999999999994)", 0.0), ("ROUND(POWER(10.0, 300))", 1e300)])
+def test_rounding_scales_the_double(one, rounded, value):
+    assert one.query_one(ONE.format(rounded)) == pytest.approx(value, rel=1e-15, abs=0)
 
 
 ERRORS = ["CAST('2024-1-1' AS DATE)", "CAST(' 7' AS INT)", "CAST('t' AS BOOLEAN)", "CAST(300 AS UINT8)", "CAST(-1 AS UINT)", "CAST(1.234 AS DECIMAL(4, 2))", "CAST('abcde' AS CHAR(4))", "UNHEX('abc')", "1 / 0", "POWER(10.0, 400)", "CAST('24:00:00' AS TIME)", "CAST('x' AS ENUM('a', 'b'))"]

@@ -16,10 +16,10 @@ def rows(engine, sql, *values):
 @pytest.fixture
 def people(engine):
     engine.execute_batch(
-        """CREATE TABLE teams (id INT PRIMARY KEY, name TEXT NOT NULL, active BOOLEAN NOT NULL);
-        CREATE TABLE users (id INT PRIMARY KEY, name VARCHAR(16) COLLATE NOCASE UNIQUE, team_id INT REFERENCES teams(id), score INT DEFAULT 5, CHECK (score >= 0));
-        INSERT INTO teams (id, name, active) VALUES (1, 'Core', TRUE), (2, 'Ops', FALSE);
-        INSERT INTO users (id, name, team_id) VALUES (1, 'Alice', 1), (2, 'Bob', 2), (3, NULL, NULL);"""
+        """CREATE TABLE crews (id INT PRIMARY KEY, name TEXT NOT NULL, active BOOLEAN NOT NULL);
+        CREATE TABLE users (id INT PRIMARY KEY, name VARCHAR(16) COLLATE NOCASE UNIQUE, crew_id INT REFERENCES crews(id), score INT DEFAULT 5, CHECK (score >= 0));
+        INSERT INTO crews (id, name, active) VALUES (1, 'Deck', TRUE), (2, 'Galley', FALSE);
+        INSERT INTO users (id, name, crew_id) VALUES (1, 'Alice', 1), (2, 'Bob', 2), (3, NULL, NULL);"""
     )
     return engine
 
@@ -31,23 +31,23 @@ def people(engine):
         "INSERT INTO users (id, name) VALUES (9, 'aLICE');",
         "INSERT INTO users (id, name) VALUES (8, 'x'), (8, 'y');",
         "INSERT INTO users (id, score) VALUES (9, -1);",
-        "INSERT INTO users (id, team_id) VALUES (9, 77);",
-        "INSERT INTO teams (id, name, active) VALUES (9, NULL, TRUE);",
+        "INSERT INTO users (id, crew_id) VALUES (9, 77);",
+        "INSERT INTO crews (id, name, active) VALUES (9, NULL, TRUE);",
         "UPDATE users SET id = 1 WHERE id = 2;",
         "UPDATE users SET score = -1;",
-        "UPDATE users SET team_id = 5 WHERE id = 1;",
-        "DELETE FROM teams WHERE id = 1;",
-        "UPDATE teams SET id = 7 WHERE id = 1;",
+        "UPDATE users SET crew_id = 5 WHERE id = 1;",
+        "DELETE FROM crews WHERE id = 1;",
+        "UPDATE crews SET id = 7 WHERE id = 1;",
     ],
 )
 def test_constraints_hold_and_statements_are_atomic(people, sql):
-    before = rows(people, "SELECT id, name, team_id, score FROM users WHERE name IS NOT NULL;"), rows(people, "SELECT * FROM teams;")
+    before = rows(people, "SELECT id, name, crew_id, score FROM users WHERE name IS NOT NULL;"), rows(people, "SELECT * FROM crews;")
     with pytest.raises(ConstraintError):
         people.execute(sql)
-    assert (rows(people, "SELECT id, name, team_id, score FROM users WHERE name IS NOT NULL;"), rows(people, "SELECT * FROM teams;")) == before
+    assert (rows(people, "SELECT id, name, crew_id, score FROM users WHERE name IS NOT NULL;"), rows(people, "SELECT * FROM crews;")) == before
 
 
-@pytest.mark.parametrize("sql", ["INSERT INTO users (id, nothing) VALUES (1, 2);", "INSERT INTO users (name) VALUES ('x');", "INSERT INTO users (id) VALUES ('a');", "UPDATE users SET nothing = 1;", "CREATE TABLE k (a INT);", "DROP TABLE teams;", "ALTER TABLE users DROP COLUMN team_id;", "ALTER TABLE users ADD COLUMN z INT NOT NULL;"])
+@pytest.mark.parametrize("sql", ["INSERT INTO users (id, nothing) VALUES (1, 2);", "INSERT INTO users (name) VALUES ('x');", "INSERT INTO users (id) VALUES ('a');", "UPDATE users SET nothing = 1;", "CREATE TABLE k (a INT);", "DROP TABLE crews;", "ALTER TABLE users DROP COLUMN crew_id;", "ALTER TABLE users ADD COLUMN z INT NOT NULL;"])
 def test_invalid_mutations(people, sql):
     with pytest.raises(ValidationError):
         people.execute(sql)
@@ -64,7 +64,7 @@ def test_upsert_sees_existing_row_and_runs_in_order(people):
 
 
 def test_upsert_of_a_query(people):
-    people.execute("INSERT INTO users (id, name, score) SELECT id + 1, CONCAT(name, 'x'), 1 FROM teams ON DUPLICATE KEY UPDATE score = 99;")
+    people.execute("INSERT INTO users (id, name, score) SELECT id + 1, CONCAT(name, 'x'), 1 FROM crews ON DUPLICATE KEY UPDATE score = 99;")
     assert rows(people, "SELECT id, score FROM users;") == [(1, 5), (2, 99), (3, 99)]
 
 
@@ -122,21 +122,21 @@ def test_transactions(people):
 
 
 def test_views_and_definitions(people):
-    people.execute("CREATE VIEW cores AS SELECT u.id AS id, u.name AS name FROM users u INNER JOIN teams t ON u.team_id = t.id WHERE t.active = TRUE;")
-    assert rows(people, "SELECT name FROM cores;") == [("Alice",)]
-    for sql in ("DROP TABLE users;", "UPDATE cores SET name = 'x';", "CREATE VIEW v AS SELECT id FROM v;"):
+    people.execute("CREATE VIEW decks AS SELECT u.id AS id, u.name AS name FROM users u INNER JOIN crews t ON u.crew_id = t.id WHERE t.active = TRUE;")
+    assert rows(people, "SELECT name FROM decks;") == [("Alice",)]
+    for sql in ("DROP TABLE users;", "UPDATE decks SET name = 'x';", "CREATE VIEW v AS SELECT id FROM v;"):
         with pytest.raises(ValidationError):
             people.execute(sql)
-    assert [r[0] for r in people.query("SHOW VIEWS;").collect()] == ["cores"]
-    assert people.query_row("SHOW CREATE VIEW cores;")["sql"].startswith("CREATE VIEW cores AS SELECT")
-    assert "REFERENCES teams(id)" in people.query_row("SHOW CREATE TABLE users;")["sql"]
+    assert [r[0] for r in people.query("SHOW VIEWS;").collect()] == ["decks"]
+    assert people.query_row("SHOW CREATE VIEW decks;")["sql"].startswith("CREATE VIEW decks AS SELECT")
+    assert "REFERENCES crews(id)" in people.query_row("SHOW CREATE TABLE users;")["sql"]
     assert [r["kind"] for r in people.query("EXPLAIN SELECT id FROM users WHERE id = 1;").collect()] == ["logical", "physical"]
 
 
 def test_alter(people):
     people.execute_batch(
         """ALTER TABLE users ADD COLUMN active BOOL NOT NULL DEFAULT TRUE; ALTER TABLE users ALTER COLUMN score SET DEFAULT 8; ALTER TABLE users RENAME COLUMN score TO points;
-        ALTER TABLE users ADD CONSTRAINT small CHECK (points < 100); ALTER TABLE teams RENAME TO groups; INSERT INTO users (id, team_id) VALUES (9, 1); ALTER TABLE users DROP COLUMN active;"""
+        ALTER TABLE users ADD CONSTRAINT small CHECK (points < 100); ALTER TABLE crews RENAME TO groups; INSERT INTO users (id, crew_id) VALUES (9, 1); ALTER TABLE users DROP COLUMN active;"""
     )
     assert rows(people, "SELECT points FROM users WHERE id IN (1, 9);") == [(5,), (8,)]
     for sql in ("UPDATE users SET points = 100;", "DELETE FROM groups WHERE id = 1;"):
@@ -149,15 +149,16 @@ def test_alter(people):
 
 def test_types_round_trip(engine):
     engine.execute(
-        "CREATE TABLE typed (id INT PRIMARY KEY, tiny INT8, big INT128, amount DECIMAL(5, 2), code CHAR(4), bytes VARBINARY(8), fixed BINARY(4), state ENUM('draft', 'live'), d DATE, at TIME, made DATETIME, zoned TIME WITH TIME ZONE, ratio FLOAT32);"
+        "CREATE TABLE kinds (id INT PRIMARY KEY, small INT8, huge INT128, price DECIMAL(7, 3), label CHAR(6), raw VARBINARY(5), padded BINARY(3), phase ENUM('open', 'shut', 'lost'), born DATE, noon TIME, seen DATETIME, far TIME WITH TIME ZONE, share FLOAT32);"
     )
-    engine.execute("INSERT INTO typed (id, tiny, big, amount, code, bytes, fixed, state, d, at, made, zoned, ratio) VALUES (1, 120, 99999999999999999999999999999999999999, '12.30', 'AB', 'xyz', 'AB', 'live', '2026-03-28', '10:11:12', '2026-03-28 13:14:15', '10:11:12+03:00', 0.5);")
-    row = engine.query_row("SELECT * FROM typed;")
-    assert (row.tiny, row.amount, row.code, bytes(row.bytes), bytes(row.fixed), row.state, str(row.d), row["at"], str(row.made), row.zoned, row.ratio) == (120, decimal.Decimal("12.30"), "AB  ", b"xyz", b"AB\0\0", "live", "2026-03-28", "10:11:12", "2026-03-28 13:14:15", "10:11:12+03:00", 0.5)
-    assert engine.query("SELECT id FROM typed WHERE code = 'AB' AND at > '10:00:00' AND zoned = '10:11:12+03:00' AND fixed = X'4142';").count() == 1
-    for value in ("tiny = 128", "amount = '1000.00'", "code = 'ABCDE'", "state = 'gone'", "bytes = 'ninebytes'", "d = '2026-3-1'"):
+    engine.execute("INSERT INTO kinds (id, small, huge, price, label, raw, padded, phase, born, noon, seen, far, share) VALUES (7, -77, -12345678901234567890123456789012345678, '45.605', 'QXV', 'plum', 'k', 'shut', '2031-07-09', '04:05:06', '1999-12-05 21:22:23', '23:30:00-02:30', 0.25);")
+    row = engine.query_row("SELECT * FROM kinds;")
+    assert (row.small, row.price, row.label, bytes(row.raw), bytes(row.padded), row.phase, str(row.born), row.noon, str(row.seen), row.far, row.share) == (-77, decimal.Decimal("45.605"), "QXV   ", b"plum", b"k\0\0", "shut", "2031-07-09", "04:05:06", "1999-12-05 21:22:23", "23:30:00-02:30", 0.25)
+    assert row.huge == decimal.Decimal("-12345678901234567890123456789012345678")
+    assert engine.query("SELECT id FROM kinds WHERE label = 'QXV' AND noon < '05:00:00' AND far = '23:30:00-02:30' AND padded = X'6B';").count() == 1
+    for value in ("small = -129", "price = '12345.000'", "label = 'QXVQXVQ'", "phase = 'none'", "raw = 'sixsix'", "born = '2031-7-9'"):
         with pytest.raises(Exception, match="."):
-            engine.execute(f"UPDATE typed SET {value};")
+            engine.execute(f"UPDATE kinds SET {value};")
 
 
 def test_prepared_and_mapping(people):
@@ -195,6 +196,85 @@ def test_persistence_and_vacuum(spark, tmp_path):
     assert two.query_one("SELECT MAX(id) FROM t;") == 3
 
 
+def test_cells_cursor_and_mapping(people):
+    (cells,) = people.cells("SELECT id, name, score / 2 AS half, TRUE AS yes, crew_id, X'0A' AS raw FROM users WHERE id = 3;")
+    assert (cells.get_int("id"), cells.get_int(0), cells.get_float("half"), cells.get_bool(3), cells.get_blob("raw"), cells.is_null("crew_id"), len(cells)) == (3, 3, 2.5, True, b"\n", True, 6)
+    for wrong in (lambda: cells.get_string("id"), lambda: cells.get_int("half"), lambda: cells.get_int("crew_id"), lambda: cells.get_int("yes"), lambda: cells.get(9), lambda: cells.get("gone")):
+        with pytest.raises(ValidationError):
+            wrong()
+    cursor = people.cursor("users", "id")
+    assert cursor.current() is None and cursor.next() and cursor.current()["name"] == "Alice" and cursor.next() and cursor.current()["id"] == 2
+    assert cursor.seek(3) and not cursor.next() and not cursor.is_valid() and not cursor.seek(17) and cursor.first() and cursor.current()["id"] == 1
+    Pair = dataclasses.make_dataclass("Pair", ["id", "score"])
+    assert people.query_one_as(Pair, "SELECT id, score FROM users WHERE id = 2;") == Pair(2, 5) and people.query_one_as(Pair, "SELECT id, score FROM users WHERE id = 20;") is None
+
+
+def test_table_cells(people):
+    text = people.table_text("SELECT TRUE AS yes, X'00FF' AS raw, name FROM crews WHERE id = 1;")
+    assert "| true | 0x00ff | Deck" in text
+    from quillon.operators.render import cell
+
+    assert cell("two\nlines\r") == "two\\nlines\\r" and cell(False) == "false" and cell(None) == "NULL"
+
+
+def test_integrity_check_finds_damage(spark, tmp_path):
+    import shutil
+
+    engine = Engine(spark, str(tmp_path / "db"))
+    engine.execute_batch("CREATE TABLE a (id INT PRIMARY KEY, v TEXT NOT NULL); CREATE TABLE b (id INT PRIMARY KEY, a_id INT REFERENCES a(id)); INSERT INTO a (id, v) VALUES (1, 'x'); INSERT INTO b (id, a_id) VALUES (1, 1);")
+    assert engine.integrity_check() == []
+    a, b = engine.catalog.tables["a"], engine.catalog.tables["b"]
+    whole = list(a.parts)
+    a.parts = [engine.storage.write("a", engine.storage.read(a).selectExpr("2 AS id", "CAST(NULL AS STRING) AS v", "rowid"))]
+    engine.storage.publish(engine.catalog)
+    assert len(engine.integrity_check()) == 2  # a NULL, and b's parent
+    a.parts = [*whole, *whole]
+    engine.storage.publish(engine.catalog)
+    assert any("duplicate key" in x for x in engine.integrity_check())
+    shutil.rmtree(tmp_path / "db" / b.parts[0])
+    assert any("missing" in x for x in engine.integrity_check())
+
+
+def test_two_writers_lose_no_update(spark, tmp_path):
+    path = str(tmp_path / "db")
+    one, two = Engine(spark, path), Engine(spark, path)
+    one.execute("CREATE TABLE t (id INT PRIMARY KEY);")
+    two.execute("INSERT INTO t (id) VALUES (1);")  # sees the other's table
+    one.execute("BEGIN;")
+    one.execute("INSERT INTO t (id) VALUES (2);")
+    two.execute("INSERT INTO t (id) VALUES (3);")
+    with pytest.raises(TransactionError, match="version"):
+        one.execute("COMMIT;")
+    assert rows(one, "SELECT id FROM t;") == rows(two, "SELECT id FROM t;") == [(1,), (3,)]
+    one.execute("INSERT INTO t (id) VALUES (2);")
+    assert rows(two, "SELECT id FROM t;") == [(1,), (2,), (3,)]
+
+
+def test_a_held_lock_stops_a_writer(spark, tmp_path, monkeypatch):
+    from quillon.sources import storage
+
+    engine = Engine(spark, str(tmp_path / "db"))
+    engine.execute("CREATE TABLE t (id INT PRIMARY KEY);")
+    monkeypatch.setattr(storage, "LOCK_WAIT", 0.2)
+    lock = tmp_path / "db" / "writer.lock"
+    lock.touch()
+    with pytest.raises(TransactionError, match="locked"):
+        engine.execute("INSERT INTO t (id) VALUES (1);")
+    assert rows(engine, "SELECT id FROM t;") == []
+    monkeypatch.setattr(storage, "LOCK_SECONDS", -1.0)  # its owner is gone
+    assert engine.execute("INSERT INTO t (id) VALUES (1);") == 1 and not lock.exists()
+
+
+def test_upsert_of_a_query_with_equal_keys(engine):
+    engine.execute_batch("CREATE TABLE s (id INT PRIMARY KEY, k TEXT); INSERT INTO s (id, k) VALUES (1, 'a'), (2, 'b'), (3, 'A'), (4, NULL), (5, NULL), (6, 'a');")
+    engine.execute_batch("CREATE TABLE v (k VARCHAR(9) COLLATE NOCASE PRIMARY KEY, n INT NOT NULL DEFAULT 1, CHECK (n < 20)); INSERT INTO v (k) VALUES ('B');")
+    assert engine.execute("INSERT INTO v (k) SELECT k FROM s WHERE k IS NOT NULL ON DUPLICATE KEY UPDATE n = n * 2 + 1;") == 4
+    assert rows(engine, "SELECT LOWER(k) AS k, n FROM v;") == [("a", 7), ("b", 3)]
+    with pytest.raises(ConstraintError):
+        engine.execute("INSERT INTO v (k) SELECT k FROM s WHERE k IS NOT NULL ON DUPLICATE KEY UPDATE n = n * 3;")
+    assert rows(engine, "SELECT LOWER(k) AS k, n FROM v;") == [("a", 7), ("b", 3)]
+
+
 def test_recursion_limit(engine):
     engine.execute_batch("CREATE TABLE s (n INT PRIMARY KEY); INSERT INTO s (n) VALUES (1);")
     with pytest.raises(Exception, match="."):
