@@ -77,7 +77,7 @@ def brute_importance(pages):
     out = {}
     for host in {h for h, _ in pages}:
         trees = [blocks(source) for h, source in pages if h == host]
-        different = {tuple(sorted(t[0])): t for t in trees}.values()
+        different = {tuple(t[0]): t for t in trees}.values()
         for path in {p for t in different for p, _ in t[0]}:
             having = [t for t in different if any(p == path for p, _ in t[0])]
             m = len(having)
