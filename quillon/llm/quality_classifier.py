@@ -22,8 +22,8 @@ from .shared import carried, restored, small_batches
 
 #: Labelled rows fitted at most; hashed terms; bins of a statistic; latent dimensions; neighbours.
 SAMPLE, TERMS, BINS, DIMENSIONS, NEIGHBOURS = 5000, 1024, 8, 40, 25
-#: Share of the statistics in a term vector; similarity's power in a vote; the score that is accepted.
-STATISTICS_WEIGHT, SHARPNESS, ACCEPT = 2.0, 8, 0.3
+#: Length of the statistics beside the trigrams' 1 in a term vector: half of its square; similarity's power in a vote; the score that is accepted.
+STATISTICS_WEIGHT, SHARPNESS, ACCEPT = 1.0, 8, 0.3
 _BLOCK = 512
 
 
