@@ -444,7 +444,8 @@ def arithmetic(op: str, a: Value, b: Value) -> Value:
             if small:
                 return Value(f"(CAST({a.sql} AS BIGINT) {op} CAST({b.sql} AS BIGINT))", BIGINT)
             return Value(f"CAST(CAST({a.sql} AS DECIMAL(38,0)) {op} CAST({b.sql} AS DECIMAL(38,0)) AS DECIMAL(38,0))", Type("int128"))
-        out = max(scales) if op in "+-%" else min(sum(scales), 18)
+        # a product is exact if its operands have 37 digits together
+        out = max(scales) if op in "+-%" else sum(scales) if _digits(x) + _digits(y) < 38 else min(sum(scales), 18)
         return Value(f"CAST({a.sql} {op} {b.sql} AS DECIMAL(38,{out}))", Type("decimal", 38, out))
     out = _temporal(op, a, b)
     if out is None:

@@ -105,6 +105,11 @@ def test_exact_division(one, quotient, digits):
     assert one.query_one(ONE.format(quotient)) == decimal.Decimal(digits)
 
 
+def test_products_keep_their_digits(one):
+    product = "CAST('1234567.0123456789' AS DECIMAL(17, 10)) * CAST('0.0123456789' AS DECIMAL(20, 10))"
+    assert one.query_one(ONE.format(product)) == decimal.Decimal("1234567.0123456789") * decimal.Decimal("0.0123456789")
+
+
 def test_quotients_beyond_38_digits_are_errors(one):
     with pytest.raises(Exception, match="."):
         one.query_one(ONE.format("CAST('123456789012345678901234' AS INT128) / 1"))
