@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .sequences import SALT_A, SALT_B, WindowHash, mix, pieces, text_buffers, word_bounds, word_hashes
-from .shared import row_keys, small_batches, written
+from .shared import column, row_keys, small_batches, written
 
 #: Rounds in which a token's classes meet its hub; a prefix of the first order is longer by c div SPARE tokens.
 ROUNDS, SPARE = 1, 16
@@ -80,7 +80,7 @@ def _texts(batches: Iterator[pa.RecordBatch]):
         if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
             column = pa.array([expand.decompress(t) for t in column.to_pylist()], pa.large_binary())
         raw, offsets = text_buffers(column)
-        for a, b in pieces(offsets, 512 << 10):
+        for a, b in pieces(offsets, 256 << 10):
             yield batch, a, b, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
@@ -193,7 +193,7 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, rounds: int) -> tuple[D
     if roots is None:
         return profiles, written(classes, "labels")
     members = written(sets.select("ca", "cb", "class").join(roots.hint("shuffle_merge"), F.col("class") == F.col("node")).select("ca", "cb", "root"), "members")
-    chief = members.join(classes.hint("shuffle_merge"), ["ca", "cb"]).groupBy("root").agg(F.min("x").alias("chief"))
+    chief = written(members.join(classes.hint("shuffle_merge"), ["ca", "cb"]).groupBy("root").agg(F.min("x").alias("chief")), "chiefs")
     linked = members.join(chief.hint("shuffle_merge"), "root").select("ca", "cb", "chief")
     # a table of its own, so that the join with the rows can split a class that many rows share
     return profiles, written(classes.join(linked.hint("shuffle_merge"), ["ca", "cb"], "left").select("ca", "cb", F.coalesce("chief", "x").alias("x")), "labels")
@@ -223,6 +223,11 @@ def representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     """
     rows, labels = _linked(docs, k, num, den, rounds)
     chosen = labels.select("x.k1", "x.k2").distinct().unionByName(rows.where("n = 0").select("k1", "k2").distinct())
-    named = docs.select(*[c.alias(f"quillon_{i}") for i, c in enumerate(row_keys(docs))], *[docs[c] for c in docs.columns])
-    names = ["quillon_0", "quillon_1"]
-    return named.join(chosen.toDF(*names).hint("shuffle_merge"), names).dropDuplicates(names).select(*docs.columns)
+    taken, names = {c.lower() for c in docs.columns}, []
+    for name in ("quillon_0", "quillon_1"):
+        while name in taken:
+            name += "_"
+        names.append(name)
+    named = docs.select(*[key.alias(name) for key, name in zip(row_keys(docs), names)], *[column(c) for c in docs.columns])
+    kept = named.join(chosen.toDF(*names).hint("shuffle_merge"), names).dropDuplicates(names)
+    return kept.select(*[column(c) for c in docs.columns])
