@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: be a hundred times longer, so the default of 10,000 rows would make batches of many MB.
 BATCH_ROWS = 1000
 #: Bytes of one batch, beyond which it ends after a row: a batch of long texts has few rows.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
