@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sequences import BYTE_CODES, SALT_A, SALT_B, WindowHash, anchored_spans, mix, pieces, text_buffers, word_bounds, word_hashes
-from .shared import carried, restored, row_keys, small_batches, written
+from .shared import carried, forget, restored, row_keys, small_batches, written
 
 #: Different contents of one anchor beyond which its windows are counted singly.
 HOT = 4000
@@ -188,13 +188,14 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, decide:
     repeated = written(runs.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("rows")).where("rows > 1").select("anchor"), "repeated")
     records = runs.select("row_id", F.explode(F.arrays_zip(*_RUN)).alias("x")).select("row_id", "x.*")
     shared = written(records.join(repeated.hint("shuffle_merge"), "anchor"), "shared")
+    # one row stands for all of equal doc_id and text: the first, which is also the one that its classes name
+    named = written(runs.groupBy("k1", "k2").agg(F.min("row_id").alias("row_id")), "named")
+    forget(runs, repeated)
     classes = written(
         shared.groupBy("anchor", "span").agg(F.count("*").alias("copies"), F.min(F.struct("row_id", "start", "lead", "n")).alias("first")).select("anchor", "span", "copies", "first.*"),
         "classes",
     )
     variety = classes.groupBy("anchor").agg(F.count("*").alias("contents"))
-    # one row stands for all of equal doc_id and text: the first, which is also the one that its classes name
-    named = runs.groupBy("k1", "k2").agg(F.min("row_id").alias("row_id"))
     wanted = classes.groupBy("row_id").agg(F.collect_list(F.struct("anchor", "span", "copies", "start", "lead", "n")).alias("wanted"))
     wanted = wanted.join(named.hint("shuffle_merge"), "row_id").select("k1", "k2", "wanted")
     text = one.select("k1", "k2", "text").join(wanted.hint("shuffle_merge"), ["k1", "k2"])
@@ -207,6 +208,7 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, decide:
     twice = single.groupBy("one", "two").agg(F.sum("copies").alias("rows")).where("rows > 1").select("one", "two")
     counted = single.join(twice.hint("shuffle_merge"), ["one", "two"]).select("anchor", "span", "lo", F.col("lo").alias("hi"))
     verdicts = written(decided.unionByName(counted), "verdicts")
+    forget(content, classes)
     marks = shared.join(verdicts.hint("shuffle_merge"), ["anchor", "span"]).select("row_id", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")).groupBy("row_id").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
     marks = marks.join(named.hint("shuffle_merge"), "row_id").select("k1", "k2", "marks")
     names = [f"own_{i}" for i in range(len(carry))]

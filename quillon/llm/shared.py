@@ -41,10 +41,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
+    out.quillon_folder = at
     spark.sparkContext._jvm.System.gc()
     return out
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made, once all that was derived from them is itself written."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.quillon_folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches of whole texts small, unless the session already asks for smaller ones."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
