@@ -1,8 +1,9 @@
 """Operator 4, quality rules: counted rules, then an isolation forest on the rules' statistics.
 
-The forest is grown on a bounded sample of labelled documents of quality 1: random splits of
-random statistics, within the bounds of all labelled rows, in which unusual rows end on short paths. The anomaly score beyond which a
-document is rejected is calibrated on labelled rows that the forest did not see.
+Random trees split random statistics within the bounds of all labelled documents. Half of those
+of quality 1 are counted in the trees' nodes, every one in every tree; unusual rows end on short
+paths. The anomaly score beyond which a document is rejected is an exact rank among the scores of
+the other half. Nothing is sampled: bounds, counts and scores are got where the rows are.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sequences import BYTE_CODES, SALT_A, SALT_B, WindowHash, mix, pieces, segment_hashes, text_buffers, word_bounds, word_hashes
-from .shared import carried, restored, small_batches
+from .shared import carried, forget, restored, small_batches, written
 
 REPEAT, MIN_WORDS, MOST_REPEATED = 8, 20, 30
-#: Labelled rows used at most, half of them to calibrate; trees; rows of a tree.
-SAMPLE, TREES, SUBSAMPLE = 6000, 120, 256
+#: Trees; each is as deep as one of this many rows, and counts all rows.
+TREES, SUBSAMPLE = 120, 256
 #: The share of labelled rows of quality 1 that the calibrated threshold may reject.
 CLEAN_LOSS = 0.004
 
@@ -104,52 +105,79 @@ class IsolationForest:
     """Random trees as arrays; a row's score is 2 ** (-mean path / expected path).
 
     Splits are drawn over the box that a node stands for, not over its rows: the root's box
-    spans `low` to `high`, so that a region which the growing rows do not reach ends early.
+    spans `low` to `high`, so that a region which the growing rows do not reach ends early. So
+    the trees are drawn before any row is seen, and rows may be counted anywhere: `size` is
+    then their number, and `settle` gets the sums of their `counts`.
     """
 
-    def __init__(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 7):
+    def __init__(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 7, size: int | None = None):
         rng = np.random.default_rng(seed)
-        size = min(subsample, len(rows))
-        self.depth = max(1, int(np.ceil(np.log2(max(2, size)))))
-        self.expected = self._path(size) or 1.0
+        self.size = len(rows) if size is None else size
+        self.depth = max(1, int(np.ceil(np.log2(max(2, min(subsample, self.size))))))
+        self.expected = float(self._path(np.array(self.size))) or 1.0
         nodes = 2 ** (self.depth + 1)
         self.feature = np.zeros((trees, nodes), np.int32)
         self.split = np.full((trees, nodes), np.inf)
         self.path = np.zeros((trees, nodes))
-        for t in range(trees):
-            self._grow(t, 1, rows[rng.permutation(len(rows))[:size]], low, high, 0, rng)
+        self._draw(low, high, rng)
+        self.settle(self.counts(rows))
 
     @staticmethod
-    def _path(n: int) -> float:
+    def _path(n: np.ndarray) -> np.ndarray:
         """Expected path length of an unsuccessful search among n rows."""
-        return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
+        m = np.maximum(n, 3)
+        return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, 2 * (np.log(m - 1) + np.euler_gamma) - 2 * (m - 1) / m))
 
-    def _grow(self, t: int, node: int, rows: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int, rng) -> None:
+    def _draw(self, low: np.ndarray, high: np.ndarray, rng) -> None:
         choice = np.flatnonzero(high > low)
-        if len(rows) <= 1 or depth == self.depth or not len(choice):
-            # a leaf passes its path length down its left line: its rows end on the last level
-            length = depth + self._path(len(rows))
-            while node < self.path.shape[1]:
-                self.path[t, node] = length
-                node *= 2
-            return
-        f = int(rng.choice(choice))
-        at = rng.uniform(low[f], high[f])
-        self.feature[t, node], self.split[t, node] = f, at
-        less, more = high.copy(), low.copy()
-        less[f] = more[f] = at
-        left = rows[:, f] <= at
-        self._grow(t, 2 * node, rows[left], low, less, depth + 1, rng)
-        self._grow(t, 2 * node + 1, rows[~left], more, high, depth + 1, rng)
-
-    def score(self, rows: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(rows))
+        if not len(choice):
+            return  # no statistic differs: all rows go left
+        trees = len(self.path)
+        low, high = np.tile(low, (trees, 1, 1)).astype(float), np.tile(high, (trees, 1, 1)).astype(float)
+        for level in range(self.depth):
+            width = 1 << level
+            tree, at = np.indices((trees, width))
+            f = rng.choice(choice, (trees, width))
+            split = rng.uniform(low[tree, at, f], high[tree, at, f])
+            self.feature[:, width : 2 * width], self.split[:, width : 2 * width] = f, split
+            low, high = np.repeat(low, 2, axis=1), np.repeat(high, 2, axis=1)
+            high[tree, 2 * at, f] = low[tree, 2 * at + 1, f] = split
+
+    def _leaves(self, rows: np.ndarray) -> Iterator[np.ndarray]:
+        """The rows' nodes on the last level, tree by tree."""
         at_row = np.arange(len(rows))
-        for feature, split, path in zip(self.feature, self.split, self.path):
+        for feature, split in zip(self.feature, self.split):
             node = np.ones(len(rows), np.int64)
             for _ in range(self.depth):
                 node = 2 * node + (rows[at_row, feature[node]] > split[node])
-            out += path[node]
+            yield node
+
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        """Number of rows in each node of the last level, a row a tree."""
+        return np.stack([np.bincount(leaf, minlength=self.path.shape[1]) for leaf in self._leaves(rows)])
+
+    def settle(self, counts: np.ndarray) -> None:
+        """Sets the path lengths by the number of rows in each node of the last level."""
+        counts = counts.copy()
+        for level in range(self.depth - 1, -1, -1):
+            width = 1 << level
+            counts[:, width : 2 * width] = counts[:, 2 * width : 4 * width : 2] + counts[:, 2 * width + 1 : 4 * width : 2]
+        ended = np.zeros((len(counts), 1), bool)
+        self.path[:] = 0
+        for level in range(self.depth + 1):
+            here = slice(1 << level, 2 << level)
+            if level:
+                # below a node of one row or none, its path length holds
+                ended, above = np.repeat(ended, 2, axis=1), np.repeat(self.path[:, (1 << level) >> 1 : 1 << level], 2, axis=1)
+                self.path[:, here] = np.where(ended, above, 0.0)
+            ends = ~ended & ((counts[:, here] <= 1) | (level == self.depth))
+            self.path[:, here] = np.where(ends, level + self._path(counts[:, here]), self.path[:, here])
+            ended = ended | ends
+
+    def score(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(rows))
+        for path, leaf in zip(self.path, self._leaves(rows)):
+            out += path[leaf]
         return 2.0 ** (-out / len(self.path) / self.expected)
 
 
@@ -163,7 +191,32 @@ def _counted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch["quality"], batch["place"], pa.array(list(_counted(batch)[1]), pa.list_(pa.float64()))], ["quality", "place", "stats"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(list(_counted(batch)[1]), pa.list_(pa.float64()))], ["doc_id", "stats"])
+
+
+def _stats(batch: pa.RecordBatch) -> np.ndarray:
+    return batch["stats"].flatten().to_numpy().reshape(-1, len(STATISTICS))
+
+
+def _leaf_counts(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of all batches together, those that are not 0, by their places in the trees' arrays."""
+    forest = model.value
+    total = np.zeros(forest.path.shape, np.int64)
+    for batch in batches:
+        total += forest.counts(_stats(batch))
+    leaf = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(total.ravel()[leaf])], ["leaf", "n"])
+
+
+def _scores(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(model.value.score(_stats(batch)))], ["score"])
+
+
+def marked(labels: DataFrame) -> DataFrame:
+    """doc_id and its least label, for all rows of labels that have both."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
+    return rows.groupBy("doc_id").agg(F.min("quality").alias("quality"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int, where=None) -> DataFrame:
@@ -171,8 +224,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int, where=None) -> Dat
 
     A document's label is its least one; rows without an id, text or label are left out.
     """
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
-    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("place", F.xxhash64("doc_id"))
+    rows = marked(labels).withColumn("place", F.xxhash64("doc_id"))
     if where is not None:
         rows = rows.where(where)
     chosen = rows.orderBy("place", "doc_id").limit(sample)  # a bounded sample, so it may be broadcast
@@ -180,17 +232,40 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int, where=None) -> Dat
     return found.where("text is not null").dropDuplicates(["doc_id"]).select("quality", "place", "text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[IsolationForest | None, float]:
-    """The forest and the score beyond which a document is rejected. Without labelled rows of quality 1: none."""
-    small_batches(docs.sparkSession)
-    rows = sorted(labelled(docs, labels, sample).mapInArrow(_statistics, "quality int, place long, stats array<double>").collect(), key=lambda r: r["place"])
-    clean = np.array([r["stats"] for r in rows if r["quality"] == 1])
-    if len(clean) < 8:
-        return None, 1.0
-    every = np.array([r["stats"] for r in rows])
-    forest = IsolationForest(clean[::2], every.min(0), every.max(0))
-    good = np.sort(forest.score(clean[1::2]))
-    return forest, float(good[min(len(good) - 1, int(np.ceil(len(good) * (1 - CLEAN_LOSS))))]) + 1e-9
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[IsolationForest | None, float]:
+    """The forest and the score beyond which a document is rejected, by all labelled documents.
+
+    A document's label is its least one; rows without an id, text or label are left out, repeated
+    rows count each. A bit of doc_id's hash tells the half that grows the forest from the half that
+    calibrates. With fewer than 8 rows of quality 1, or with none in a half: no forest.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    # statistics before the join: their rows are short, so that no text is shuffled
+    found = texts.mapInArrow(_statistics, "doc_id long, stats array<double>").join(marked(labels), "doc_id")
+    rows = written(found.select("quality", F.xxhash64("doc_id").bitwiseAND(F.lit(1)).alias("half"), "stats"), "rule-statistics")
+    try:
+        growing, calibrating = (F.expr(f"quality = 1 and half = {h}") for h in (0, 1))
+        bounds = [f(F.col("stats")[i]) for f in (F.min, F.max) for i in range(len(STATISTICS))]
+        grown, calibrated, *bounds = rows.agg(F.count_if(growing), F.count_if(calibrating), *bounds).first()
+        if grown + calibrated < 8 or not grown or not calibrated:
+            return None, 1.0
+        low, high = np.array(bounds).reshape(2, -1)
+        forest = IsolationForest(np.zeros((0, len(low))), low, high, size=grown)
+        drawn = spark.sparkContext.broadcast(forest)
+        leaves = rows.where(growing).select("stats").mapInArrow(partial(_leaf_counts, drawn), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()
+        counts = np.zeros(forest.path.size, np.int64)
+        counts[[r["leaf"] for r in leaves]] = [r["n"] for r in leaves]
+        forest.settle(counts.reshape(forest.path.shape))
+        settled = spark.sparkContext.broadcast(forest)
+        scores = rows.where(calibrating).select("stats").mapInArrow(partial(_scores, settled), "score double")
+        # the threshold's rank from above, so that only CLEAN_LOSS of the scores meet in one task
+        rank = calibrated - min(calibrated - 1, int(np.ceil(calibrated * (1 - CLEAN_LOSS))))
+        limit = scores.orderBy(F.desc("score")).limit(rank).agg(F.min("score")).first()[0]
+        return forest, limit + 1e-9
+    finally:
+        forget(rows)
 
 
 def _judge(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,14 +279,14 @@ def _judge(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*[batch[c] for c in own], *[pa.array(counts[:, i]) for i in range(len(COUNTS))], pa.array(failed), pa.array(~failed & (scores <= limit)), pa.array(scores)], own + [*COUNTS, "base_failed", "kept", "anomaly"])
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, sample: int = SAMPLE) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """The columns of carry (doc_id), then COUNTS, base_failed, kept and anomaly for each row of docs.
 
     Null and empty texts have no words and fail. Repeated rows are judged each. With fewer than
-    8 labelled rows of quality 1 there is no forest, and the counted rules alone decide.
+    8 labelled rows of quality 1, or with all in one half, there is no forest, and the counted rules alone decide.
     """
     carry = carry or ["doc_id"]
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     columns, schema = carried(docs, carry)
     figures = ", ".join([f"{c} long" for c in COUNTS] + ["base_failed boolean, kept boolean, anomaly double"])
     out = docs.select(*columns, "text").mapInArrow(partial(_judge, model), f"{schema}, {figures}")

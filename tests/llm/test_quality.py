@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import quality_rules
 from quillon.llm.quality_classifier import NEIGHBOURS, SHARPNESS, _features, fit, quality_classifier
@@ -79,6 +80,43 @@ def test_verdicts_match_plain_path_lengths(documents, labels, texts):
         assert got[d][1] == pytest.approx(anomaly, rel=1e-12) and got[d][0] == (not failed and got[d][1] <= limit)
 
 
+def test_fit_counts_every_labelled_document(spark):
+    # 6,600 labelled documents; by the hash of their ids the last 400 are of a style of their own
+    ids = [r.id for r in spark.range(6600).orderBy(F.xxhash64("id")).collect()]
+    rare = set(ids[-400:])
+    texts = {d: " ".join(f"{(d * 31 + i * i) % 997:05d}" if d in rare else f"word{'abcdefgh'[(d + i * i) % 8]}{'.' * (i % 5 == 0)}" for i in range(24 + d % 9)) for d in ids}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(d, int(d % 11 > 0)) for d in ids], "doc_id bigint, quality int")
+    kept = {r.doc_id for r in quality_rules.quality_rules(docs, labels).where("kept").collect()}
+    clean = {d for d in rare if d % 11}
+    assert len(clean & kept) >= 0.9 * len(clean)
+    # the same by hand, from all rows at once
+    forest, limit = quality_rules.fit(docs, labels)
+    _, stats = quality_rules._counted(pa.record_batch({"text": pa.array([texts[d] for d in ids])}))
+    half = {r.id: r.h for r in spark.range(6600).select("id", (F.xxhash64("id") % 2 != 0).cast("int").alias("h")).collect()}
+    grown, calibrated = (stats[[i for i, d in enumerate(ids) if d % 11 and half[d] == h]] for h in (0, 1))
+    plain = IsolationForest(grown, stats.min(0), stats.max(0))
+    assert (plain.split == forest.split).all() and plain.path == pytest.approx(forest.path) and plain.expected == forest.expected
+    good = sorted(plain.score(calibrated))
+    assert limit == pytest.approx(good[int(np.ceil(len(good) * (1 - quality_rules.CLEAN_LOSS)))], abs=1e-8)
+
+
+def test_paths_are_those_of_trees_that_count_all_rows():
+    rng = np.random.default_rng(5)
+    rows = rng.normal(0, 0.2, (700, 4)) ** 3
+    forest = IsolationForest(rows, rows.min(0), rows.max(0))
+    for tree in range(0, len(forest.path), 17):
+        for row in rng.uniform(rows.min(0), rows.max(0), (60, 4)):
+            node, depth, inside = 1, 0, rows
+            while len(inside) > 1 and depth < forest.depth:
+                f, split = forest.feature[tree, node], forest.split[tree, node]
+                right = row[f] > split
+                node, depth, inside = 2 * node + right, depth + 1, inside[(inside[:, f] > split) == right]
+            n = len(inside)
+            rest = 0 if n <= 1 else 1 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
+            assert plain_path(forest, tree, row) == pytest.approx(depth + rest)
+
+
 def test_lines_of_structured_text_are_told_apart():
     one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
     two = one.translate(str.maketrans("ab", "ba"))
