@@ -19,6 +19,8 @@ from quillon.llm.suffix_dedup import suffix_dedup
 
 #: Near duplicates: words of a shingle, and the similarity in hundredths.
 SHINGLE, SIMILARITY = 5, 80
+#: Words of a generation that packing remembers: a worker packs beside what four stages have left in its executor.
+GENERATION = 100_000
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +67,7 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the remaining documents in their sequences. A null or empty text has one piece, its end token."""
-    return pack(docs, vocabulary("word_bpe_49k.json"))
+    return pack(docs, vocabulary("word_bpe_49k.json"), generation=GENERATION)
 
 
 STAGES = [("quality rules", rules), ("quality classifier", classifier), ("near duplicates", near_duplicates), ("repeated substrings", repeated_substrings), ("packing", packing)]

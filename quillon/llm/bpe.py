@@ -155,11 +155,11 @@ class Generations(dict):
 _kept: dict = {}
 
 
-def kept(make, spec: str):
-    """make(spec), once per Python worker: what a model remembers serves the worker's later tasks."""
-    key = make.__name__, hashlib.sha256(spec.encode()).digest()
+def kept(make, spec: str, *bounds: int):
+    """make(spec, *bounds), once per Python worker: what a model remembers serves the worker's later tasks."""
+    key = make.__name__, hashlib.sha256(spec.encode()).digest(), bounds
     if key not in _kept:
-        _kept[key] = make(spec)
+        _kept[key] = make(spec, *bounds)
     return _kept[key]
 
 
